@@ -104,6 +104,14 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * down[start] + SEED_MIX * (end - start).astype(np.uint64))
 
 
+def span_hashes(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of code points."""
+    up, down = _BYTES.get(len(points) + 1)
+    prefix = np.zeros(len(points) + 1, np.uint64)
+    np.cumsum(mix(points.astype(np.uint64) + SEED_MIX) * up[: len(points)], out=prefix[1:])
+    return mix((prefix[end] - prefix[start]) * down[start] + SEED_MIX * (end - start).astype(np.uint64))
+
+
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """Hashes of all windows of ``size`` consecutive entries (rows are not looked at)."""
     n = len(words)
