@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.llm.fingerprint import fingerprint_with_edits
+from faultline.llm.jaccard import JaccardJoin
 from faultline.llm.packing import pack_documents
 from faultline.llm.quality import quality_verdicts
 from faultline.llm.sharding import shard_by_bytes
@@ -38,6 +39,11 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = JaccardJoin(table(spark, sf_dir, "documents")).membership()
+    return joined.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file(), 2048)
 
@@ -53,6 +59,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_document_fingerprints": op1_document_fingerprints,
         "op3_sharding": op3_sharding,
         "op4_substring_dedup": op4_substring_dedup,
+        "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
         "op8_packing": op8_packing,
         "op9_quality_rules": op9_quality_rules,
     }
