@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from faultline.llm.fingerprint import fingerprint_with_edits
 from faultline.llm.jaccard import JaccardJoin
+from faultline.llm.langid import identify, train_models
 from faultline.llm.packing import pack_documents
 from faultline.llm.quality import quality_verdicts
 from faultline.llm.sharding import shard_by_bytes
@@ -30,6 +31,14 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_with_edits(table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4, F.lit(2))
+    models = train_models(docs.where(fold != 2), fold == 1)
+    folded = docs.withColumn("held_out", fold == 2)
+    return identify(folded, models, ["doc_id", "held_out"])
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"), 40)
 
@@ -57,6 +66,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_document_fingerprints": op1_document_fingerprints,
+        "op2_language_id": op2_language_id,
         "op3_sharding": op3_sharding,
         "op4_substring_dedup": op4_substring_dedup,
         "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
