@@ -11,6 +11,7 @@ from faultline.llm.chat import as_reply_tree, format_conversations, read_back
 from faultline.llm.fingerprint import fingerprint_with_edits
 from faultline.llm.jaccard import JaccardJoin
 from faultline.llm.langid import identify, train_models
+from faultline.llm.mixing import Mixture, mix_sources
 from faultline.llm.packing import pack_documents
 from faultline.llm.quality import quality_verdicts
 from faultline.llm.sharding import shard_by_bytes
@@ -75,6 +76,27 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.select("doc_id", *counts, "base_failed", "kept", "failed_rules")
 
 
+#: Target shares of expected tokens; documents of the anchor domain keep a rate near one.
+DOMAIN_WEIGHTS = {"good": 0.97, "poor": 0.02, "toxic": 0.01}
+ANCHOR_DOMAIN = "good"
+
+
+def labelled_domains(labels: DataFrame) -> DataFrame:
+    """(doc_id, domain) of the labels table: toxic, else good or poor by its quality flag."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor")
+    return labels.select("doc_id", domain.alias("domain"))
+
+
+def mixed(docs: DataFrame, spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Mixture]:
+    return mix_sources(docs, labelled_domains(table(spark, sf_dir, "labels")), DOMAIN_WEIGHTS, ANCHOR_DOMAIN)
+
+
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated, mixture = mixed(table(spark, sf_dir, "documents"), spark, sf_dir)
+    p = [F.col("posteriors")[k].alias(f"p_{d}") for k, d in enumerate(mixture.domains)]
+    return rated.select("doc_id", "source", "n_tokens", *p, "rate", "copies")
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_document_fingerprints": op1_document_fingerprints,
@@ -85,6 +107,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_chat_formatting": op7_chat_formatting,
         "op8_packing": op8_packing,
         "op9_quality_rules": op9_quality_rules,
+        "op10_source_mixing": op10_source_mixing,
     }
 
 
