@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.llm.components import connected_components
@@ -254,3 +254,16 @@ class JaccardJoin:
         placed = self.sets.join(nodes.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "sid")))
         smallest = placed.where("component is not null").groupBy("component").agg(F.min("id").alias("least"))
         return placed.join(smallest, "component", "left").select("key", "id", F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
+
+    def one_of_each(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """The rows of ``docs`` (the joined table) without all but one of each group: the smallest id stays.
+
+        Rows with an empty set are in no group and all stay.
+        """
+        members = self.membership()
+        first = members.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("id", "key")).alias("f")).select(F.col("f.key").alias("_key"), F.lit(True).alias("_grouped"))
+        empty = members.where("n_shingles = 0").select(F.col("key").alias("_key"), F.lit(False).alias("_grouped")).distinct()
+        keyed = docs.withColumn("_row_key", F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))))
+        kept = keyed.join(first.unionByName(empty), F.col("_row_key") == F.col("_key"))
+        again = Window.partitionBy("_row_key").orderBy("_key")
+        return kept.withColumn("_n", F.row_number().over(again)).where("_n = 1 or not _grouped").select(*docs.columns)

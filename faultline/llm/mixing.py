@@ -215,8 +215,8 @@ def solve(described: DataFrame, domains: list[str], weights: dict[str, float], a
     return history, Mixture(domains, share * budget, before, now, len(history))
 
 
-def mix_sources(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], anchor: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Mixture]:
-    """(all columns of ``docs`` but the text, with the row's ``row_key``, ``n_tokens, posteriors, rate, copies``; the fit).
+def mix_sources(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], anchor: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> tuple[DataFrame, Mixture]:
+    """(all columns of ``docs`` (the text only with ``keep_text``) with the row's ``row_key``, ``n_tokens, posteriors, rate, copies``; the fit).
 
     ``labelled`` has (id, domain); domains without a weight get zero.  Tokens are words.
     ``copies`` is the rate rounded: to the whole number within ``ROUNDING`` of it, else
@@ -226,7 +226,7 @@ def mix_sources(docs: DataFrame, labelled: DataFrame, weights: dict[str, float],
     """
     model = train_classifier(docs, labelled, id_col, text_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rest = [c for c in docs.columns if c != text_col]
+    rest = [c for c in docs.columns if keep_text or c != text_col]
     keyed = docs.select(*rest, F.xxhash64(F.col(id_col), text).alias("row_key"), text.alias("_text"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema.fields[:-1]]
     shared = docs.sparkSession.sparkContext.broadcast(model)

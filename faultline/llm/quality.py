@@ -122,15 +122,16 @@ def risk_controlled_cutoffs(holdout: DataFrame, stratum: str, rules: list[str],
     return admitted.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r")
 
 
-def quality_verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang", id_col: str = "doc_id", text_col: str = "text", clean_col: str = "quality", **control) -> DataFrame:
-    """All columns of ``docs`` but the text, with the counts, scores, ``base_failed``, ``failed_rules`` and ``kept``.
+def quality_verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang", id_col: str = "doc_id", text_col: str = "text", clean_col: str = "quality", keep_text: bool = False, **control) -> DataFrame:
+    """All columns of ``docs`` (the text only with ``keep_text``) with the counts, scores, ``base_failed``, ``failed_rules`` and ``kept``.
 
     ``labels`` has (id, clean flag 0/1).  Null texts have no words and fail the base
     rule; null strata form one stratum; a document labelled more than once counts
     once per label; rows may repeat, and each is judged by itself.  Extra columns of
     ``labels`` are not read.  With no labels nothing beyond the base rule rejects.
     """
-    stats = quality_stats(docs, text_col).drop(text_col)
+    stats = quality_stats(docs, text_col)
+    stats = stats if keep_text else stats.drop(text_col)
     stats = stats.withColumns({r: f(F.col).cast("double") for r, f in RULES.items()})
     stats = stats.withColumns({"_stratum": F.coalesce(F.col(stratum).cast("string"), F.lit("")), "base_failed": base_failed(F.col("n_words"), F.col("n_repeat_words"))})
     stats = stored(stats, "quality_stats")

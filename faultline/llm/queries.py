@@ -92,8 +92,8 @@ def labelled_domains(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", domain.alias("domain"))
 
 
-def mixed(docs: DataFrame, spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Mixture]:
-    return mix_sources(docs, labelled_domains(table(spark, sf_dir, "labels")), DOMAIN_WEIGHTS, ANCHOR_DOMAIN)
+def mixed(docs: DataFrame, spark: SparkSession, sf_dir: str, keep_text: bool = False) -> tuple[DataFrame, Mixture]:
+    return mix_sources(docs, labelled_domains(table(spark, sf_dir, "labels")), DOMAIN_WEIGHTS, ANCHOR_DOMAIN, keep_text=keep_text)
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
