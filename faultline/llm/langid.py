@@ -286,7 +286,7 @@ def train_models(labelled: DataFrame, fold: Column, lang_col: str = "lang", text
     scored = sample(True, CALIBRATION_ROWS).mapInArrow(_score(context.broadcast(models)), "lang string, entropies array<double>, symbols long").where("symbols > 0").toArrow().to_pylist()
     place = {x: k for k, x in enumerate(models.languages)}
     known = [r for r in scored if r["lang"] in place]
-    calibrate(models, np.array([r["entropies"] for r in known]).reshape(-1, len(models.languages)), np.array([place[r["lang"]] for r in known], np.int64))
+    calibrate(models, np.array([r["entropies"] for r in known]).reshape(len(known), len(models.languages)), np.array([place[r["lang"]] for r in known], np.int64))
     return models
 
 
