@@ -24,6 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faultline.llm.shared import stored
 from faultline.llm.sketches import bitmap, counted_batches, in_bitmap
 from faultline.llm.words import sliding_min, string_buffers, window_hashes, word_bounds, word_hashes
 
@@ -66,6 +67,7 @@ def _count_anchors(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def hashes():
             for batch in batches:
+                batch = batch.filter(pa.array(_at_most_twice(batch.column(1).to_numpy(zero_copy_only=False))))
                 for lo in range(0, batch.num_rows, 1000):
                     words, valid, _, _ = _windows(batch.column(0).slice(lo, 1000), length)
                     if valid.any():
@@ -78,47 +80,63 @@ def _count_anchors(length: int):
     return run
 
 
+def _at_most_twice(docs: np.ndarray) -> np.ndarray:
+    """Marks the first two rows of each text of a batch: more copies of it tell nothing new about what occurs twice."""
+    order = np.argsort(docs, kind="stable")
+    same = docs[order][2:] == docs[order][:-2]
+    keep = np.ones(len(docs), bool)
+    keep[order[2:][same]] = False
+    return keep
+
+
 def _candidates(length: int, repeated: Broadcast, hot: Broadcast):
-    """Rows (key, doc, at, windows): the windows of a document that share a repeated anchor, next to each other.
+    """The windows under repeated anchors, as rows (key, doc, at, windows) or (w, doc, ats).
 
-    ``key`` is the anchor, or null for windows under a hot anchor, one to a row.
+    ``key`` is the anchor of windows that stand next to each other from word ``at``
+    on.  Under a hot anchor, a row has one window hash ``w`` and all its places in
+    the document.
     """
+    names = ["key", "doc", "at", "windows", "w", "ats"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags, hot_flags = np.frombuffer(repeated.value, np.uint8), np.frombuffer(hot.value, np.uint8)
         for batch in batches:
+            batch = batch.filter(pa.array(_at_most_twice(batch.column(1).to_numpy(zero_copy_only=False))))
             for lo in range(0, batch.num_rows, 1000):
-                keys = batch.column(1).slice(lo, 1000).to_numpy(zero_copy_only=False)
+                docs = batch.column(1).slice(lo, 1000).to_numpy(zero_copy_only=False)
                 words, valid, row, first = _windows(batch.column(0).slice(lo, 1000), length)
                 if not valid.any():
                     continue
                 _, least = _anchors(words, valid, length)
                 at = np.flatnonzero(valid)
                 at = at[in_bitmap(flags, least[at])]
-                if not len(at):
-                    continue
-                hashes = window_hashes(words, length)[at]
+                hashes = window_hashes(words, length)
                 is_hot = in_bitmap(hot_flags, least[at])
-                begins = np.ones(len(at), bool)
-                begins[1:] = (np.diff(at) != 1) | (least[at][1:] != least[at][:-1]) | (row[at][1:] != row[at][:-1]) | is_hot[1:]
-                group = np.flatnonzero(begins)
-                offsets = np.append(group, len(at)).astype(np.int32)
-                head = at[group]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(least[head].view(np.int64), mask=is_hot[group]),
-                        pa.array(keys[row[head]]),
-                        pa.array((head - first[row[head]]).astype(np.int32)),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes.view(np.int64))),
-                    ],
-                    ["key", "doc", "at", "windows"],
-                )
+                spots = at[~is_hot]
+                if len(spots):
+                    begins = np.ones(len(spots), bool)
+                    begins[1:] = (np.diff(spots) != 1) | (least[spots][1:] != least[spots][:-1]) | (row[spots][1:] != row[spots][:-1])
+                    group = np.flatnonzero(begins)
+                    head, k = spots[group], len(group)
+                    windows = pa.ListArray.from_arrays(pa.array(np.append(group, len(spots)).astype(np.int32)), pa.array(hashes[spots].view(np.int64)))
+                    columns = [pa.array(least[head].view(np.int64)), pa.array(docs[row[head]]), pa.array((head - first[row[head]]).astype(np.int32)), windows]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.nulls(k, pa.int64()), pa.nulls(k, pa.list_(pa.int32()))], names)
+                spots = at[is_hot]
+                if len(spots):
+                    spots = spots[np.lexsort((spots, hashes[spots], row[spots]))]
+                    begins = np.ones(len(spots), bool)
+                    begins[1:] = (hashes[spots][1:] != hashes[spots][:-1]) | (row[spots][1:] != row[spots][:-1])
+                    group = np.flatnonzero(begins)
+                    head, k = spots[group], len(group)
+                    ats = pa.ListArray.from_arrays(pa.array(np.append(group, len(spots)).astype(np.int32)), pa.array((spots - first[row[spots]]).astype(np.int32)))
+                    none = [pa.nulls(k, pa.int32()), pa.nulls(k, pa.list_(pa.int64()))]
+                    yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.array(docs[row[head]]), *none, pa.array(hashes[head].view(np.int64)), ats], names)
 
     return run
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor: emits (doc, at) of every window that some other place has too."""
+    """Rows sorted by anchor: emits (doc, ats), the windows that some other place has too."""
 
     def decide(table: pa.Table) -> pa.RecordBatch:
         windows = table.column("windows").combine_chunks()
@@ -128,7 +146,9 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = np.flatnonzero(n[place] > 1)
         row = np.repeat(np.arange(len(counts)), counts)
         at = table.column("at").to_numpy()[row] + np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts)
-        return pa.RecordBatch.from_arrays([pa.array(table.column("doc").to_numpy()[row[twice]]), pa.array(at[twice].astype(np.int32))], ["doc", "at"])
+        rows, head = np.unique(row[twice], return_index=True)
+        ats = pa.ListArray.from_arrays(pa.array(np.append(head, len(twice)).astype(np.int32)), pa.array(at[twice].astype(np.int32)))
+        return pa.RecordBatch.from_arrays([pa.array(table.column("doc").to_numpy()[rows]), ats], ["doc", "ats"])
 
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -282,18 +302,17 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, text_col: str = "tex
     """(doc, starts): per distinct text (its 64-bit hash) the first words of all windows that occur twice or more."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     hashed = docs.select(text.alias("text"), F.xxhash64(text).alias("doc"))
-    anchors = hashed.select("text").mapInArrow(_count_anchors(length), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 2")
-    anchors = anchors.persist()
+    anchors = hashed.mapInArrow(_count_anchors(length), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 2")
+    anchors = stored(anchors, "anchors")
     repeated = bitmap(anchors, "h")
     hot = bitmap(anchors.where(F.col("n") > HOT_ANCHOR), "h", 20)
-    anchors.unpersist()
-    rows = hashed.mapInArrow(_candidates(length, repeated, hot), "key long, doc long, at int, windows array<long>")
-    rows = rows.persist()
-    usual = rows.where("key is not null").repartition("key").sortWithinPartitions("key").mapInArrow(_compare, "doc long, at int")
-    single = rows.where("key is null").select("doc", "at", F.col("windows")[0].alias("w"))
-    common = single.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("w")
-    found = usual.unionByName(single.join(common, "w").select("doc", "at"))
-    return found.groupBy("doc").agg(F.collect_set("at").alias("starts"))
+    rows = hashed.mapInArrow(_candidates(length, repeated, hot), "key long, doc long, at int, windows array<long>, w long, ats array<int>")
+    rows = stored(rows, "windows")
+    usual = rows.where("key is not null").select("key", "doc", "at", "windows").repartition("key").sortWithinPartitions("key").mapInArrow(_compare, "doc long, ats array<int>")
+    single = rows.where("key is null").select("w", "doc", "ats")
+    common = single.groupBy("w").agg(F.sum(F.size("ats")).alias("n")).where("n >= 2").select("w")
+    found = usual.unionByName(single.join(common, "w").select("doc", "ats"))
+    return found.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("ats"))).alias("starts"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text") -> DataFrame:
