@@ -274,10 +274,16 @@ def remove_generated_parts(text: Column) -> Column:
 
 def unique_lines(text: Column) -> Column:
     """The first of the lines that are equal but for outer space, without pointers to documentation."""
-    lines = F.transform(lines_of(text), lambda x: F.struct(stripped(x).alias("key"), x.alias("line")))
-    useful = F.filter(lines, lambda x: ~(F.contains(F.lower(x["line"]), F.lit("documentation")) & F.contains(F.lower(x["line"]), F.lit("error")) & F.contains(F.lower(x["line"]), F.lit("visit"))))
-    keys = F.transform(useful, lambda x: x["key"])
-    return joined(F.transform(F.filter(F.transform(useful, lambda x, i: F.struct(x["line"].alias("line"), (F.array_position(keys, x["key"]) == i + 1).alias("first"))), lambda x: x["first"]), lambda x: x["line"]))
+    texts = F.array().cast("array<string>")
+
+    def step(state: Column, line: Column) -> Column:
+        useless = F.lit(True)
+        for word in P.DOCUMENTATION_WORDS:
+            useless = useless & F.contains(F.lower(line), F.lit(word))
+        skip = useless | F.array_contains(state["keys"], stripped(line))
+        return F.when(skip, state).otherwise(F.struct(F.array_append(state["keys"], stripped(line)).alias("keys"), F.array_append(state["lines"], line).alias("lines")))
+
+    return F.aggregate(lines_of(text), F.struct(texts.alias("keys"), texts.alias("lines")), step, lambda s: joined(s["lines"]))
 
 
 def space_colons(text: Column) -> Column:
