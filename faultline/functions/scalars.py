@@ -11,18 +11,18 @@ from faultline.functions.patterns import ERROR_LEVEL
 from faultline.functions.text import split_words
 
 DAY_SECONDS = 86400
-#: How many words a text of up to so many words may miss, by the share asked for.
-MISSED_BY_SHARE = [(0.9, 1), (0.8, 2), (0.7, 3)]
+#: How many words a text may miss, by the bands of the share asked for.
+MISSED_BY_SHARE = [(0.95, 0.99, 1), (0.9, 0.95, 2), (0.8, 0.9, 3)]
 HASH_MODULUS = 10**16
 
 
 def adaptive_threshold(size: Column, share: float, least: float = 0.8) -> Column:
     """A similarity threshold that lets a short text miss whole words: (size - k) / size if that stays above ``least``."""
-    missed = next((k for bound, k in MISSED_BY_SHARE if share >= bound), 0)
-    if share >= 1.0 or not missed:
+    missed = next((k for low, high, k in MISSED_BY_SHARE if low <= share < high or share == high == 0.99), 0)
+    if not missed:
         return F.lit(float(share))
-    candidate = F.round((size - missed) / size, 4)
-    return F.when((size > 0) & (candidate >= least), F.least(F.lit(float(share)), candidate)).otherwise(F.lit(float(share)))
+    candidate = (size - missed) / size
+    return F.when((size > 0) & (candidate >= least), F.least(F.lit(float(share)), F.round(candidate, 4))).otherwise(F.lit(float(share)))
 
 
 def text_threshold(text: Column, share: float, least: float = 0.8) -> Column:
@@ -35,7 +35,7 @@ def log_weight(level: Column, length: Column, longest: Column) -> Column:
 
 
 def whole_or_zero(text: Column) -> Column:
-    return F.coalesce(F.try_cast(text, "bigint") if hasattr(F, "try_cast") else text.try_cast("bigint"), F.lit(0).cast("bigint"))
+    return F.coalesce(text.try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def real_id(stored: Column) -> Column:

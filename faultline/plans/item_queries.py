@@ -94,8 +94,8 @@ def num_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _NUM_SQL = f"""{ORACLE_LOGS}, t AS (SELECT *, log_id % 30 AS n FROM logs),
 digits AS (SELECT log_id, sha1(message) AS h, md5(unique_id) AS b FROM logs)
-SELECT log_id, CASE WHEN n > 0 AND round((n - 1) / n, 4) >= 0.8 THEN least(0.95, round((n - 1) / n, 4)) ELSE 0.95 END AS thr_95,
-  CASE WHEN n > 0 AND round((n - 2) / n, 4) >= 0.8 THEN least(0.8, round((n - 2) / n, 4)) ELSE 0.8 END AS thr_80,
+SELECT log_id, CASE WHEN n > 0 AND (n - 1) / n >= 0.8 THEN least(0.95, round((n - 1) / n, 4)) ELSE 0.95 END AS thr_95,
+  CASE WHEN n > 0 AND (n - 3) / n >= 0.8 THEN least(0.8, round((n - 3) / n, 4)) ELSE 0.8 END AS thr_80,
   round_even(log_level / 40000.0 * n / 29, 6) AS weight, log_id % 10 % 2 = 1 AS with_numbers,
   CAST(list_reduce(list_transform(range(1, 41), lambda i: CAST(instr('0123456789abcdef', substr(h, i, 1)) - 1 AS HUGEINT)), lambda a, c: (a * 16 + c) % 10000000000000000) AS BIGINT) AS hash,
   CAST(list_reduce(list_transform(range(1, 33), lambda i: CAST(instr('0123456789abcdef', substr(b, i, 1)) - 1 AS HUGEINT)), lambda a, c: (a * 16 + c) % 100) AS BIGINT) AS bucket,
