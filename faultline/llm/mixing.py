@@ -222,8 +222,10 @@ def mix_sources(docs: DataFrame, labelled: DataFrame, weights: dict[str, float],
     ``copies`` is the rate rounded: to the whole number within ``ROUNDING`` of it, else
     up or down at random by a hash of the row.  Null and empty texts have no tokens, so
     they only follow the rate of their posteriors; repeated rows get equal rates and
-    copies; without labels there is one domain and every rate is one.
+    copies; without labels there is one domain and every rate is one.  Columns of
+    ``docs`` with the name of a result are replaced.
     """
+    docs = docs.drop("row_key", "n_tokens", "posteriors", "rate", "copies", "_text")
     model = train_classifier(docs, labelled, id_col, text_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rest = [c for c in docs.columns if keep_text or c != text_col]

@@ -322,8 +322,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text"
     it has a word sequence that starts anywhere else too, in the same row or another;
     all windows are judged on the input.  What is left is joined by single spaces.
     Null texts have no words, rows shorter than a window lose nothing, repeated rows
-    lose every window, and extra columns pass unchanged.
+    lose every window, and extra columns pass unchanged; columns with the name of a
+    result are replaced.
     """
+    docs = docs.drop("kept_text", "n_words", "n_removed", "_doc", "_starts")
     doc = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     found = repeated_windows(docs, length, text_col).select(F.col("doc").alias("_doc"), F.col("starts").alias("_starts"))
     joined = docs.join(found, doc == F.col("_doc"), "left").drop("_doc")

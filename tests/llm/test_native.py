@@ -84,6 +84,15 @@ def test_verdicts_without_labels_and_rows(spark):
     assert quality_verdicts(empty(spark), labels).count() == 0
 
 
+def test_clashing_columns_are_replaced(spark):
+    labels = spark.createDataFrame([(None, None, None), (3, 1, 0), (3, 0, None)], "doc_id long, quality int, toxic int")
+    docs = documents(spark).withColumnRenamed("source", "kept").withColumnRenamed("n_chars", "n_words")
+    out = quality_verdicts(docs, labels)
+    assert out.columns.count("kept") == out.columns.count("n_words") == 1 and out.count() == docs.count()
+    clash = documents(spark).withColumnRenamed("source", "size").withColumnRenamed("lang", "shard")
+    assert shard_by_bytes(clash).count() == fingerprint_with_edits(clash.withColumnRenamed("size", "packed")).count()
+
+
 def test_shards(spark):
     docs = documents(spark)
     rows = shard_by_bytes(docs, 7).collect()

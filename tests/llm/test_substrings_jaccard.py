@@ -31,6 +31,8 @@ def test_repeats_of_an_empty_table_and_extra_columns(spark):
     out = remove_repeats(docs)
     assert out.columns == [*docs.columns, "kept_text", "n_words", "n_removed"]
     assert out.count() == docs.count()
+    clash = documents(spark).withColumnRenamed("source", "n_words").withColumnRenamed("lang", "kept_text")
+    assert remove_repeats(clash).columns == ["doc_id", "text", "n_chars", "kept_text", "n_words", "n_removed"]
 
 
 def test_automaton_matches_the_longest_suffix():
