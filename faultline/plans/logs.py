@@ -52,7 +52,13 @@ FROM events
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A table in fewer files than there are cores is dealt out to all of them; larger tables are read as they lie."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if len(table.inputFiles()) < cores else table
 
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:

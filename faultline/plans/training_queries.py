@@ -148,8 +148,8 @@ def oracles() -> dict[str, str]:
         "trn_02_balance": f"{_ENTRIES}, labels AS (SELECT unnest(['ab', 'pb', 'si']) AS label), c AS (SELECT label, count(*) FILTER (WHERE base = label AND positive) AS p, count(*) FILTER (WHERE NOT (base = label AND positive) AND (base = label OR positive)) AS n FROM entries, labels GROUP BY 1) SELECT label, 1 AS target, p AS n FROM c UNION ALL SELECT label, 0, least(n, 4 * p) FROM c",
         "trn_03_targets": f"{_ENTRIES} SELECT issue_type, CAST(base = 'pb' AND positive AS INTEGER) AS target, count(*) AS n FROM entries GROUP BY ALL",
         "trn_05_candidates": f"{ORACLE_LOGS}, c AS (SELECT test_case_hash AS req_item, count(*) FILTER (WHERE lower(issue_type) = 'pb001') AS p, count(DISTINCT lower(issue_type)) FILTER (WHERE lower(issue_type) IN ('si001', 'nd001')) AS h, count(*) FILTER (WHERE lower(issue_type) NOT IN ('pb001', 'si001', 'nd001')) AS o FROM logs WHERE issue_type IS NOT NULL GROUP BY 1) SELECT * FROM (SELECT req_item, 1 AS target, p AS n FROM c UNION ALL SELECT req_item, 0, h + least(o, 4 * greatest(p, 1)) FROM c) WHERE n > 0",
-        "trn_06_history_hits": f"{ORACLE_LOGS}, i AS (SELECT DISTINCT test_item_id AS t FROM logs) SELECT t AS req_item, -(t * 10 + 1) AS item, CASE WHEN t % 2 = 0 THEN 'ab001' ELSE 'nd001' END AS issue_type, 0.0001 AS score FROM i UNION ALL SELECT t, -(t * 10 + 2), 'si001', 0.0001 FROM i WHERE t % 2 = 0",
-        "trn_08_split": "SELECT unnest([0, 1]) AS target, 0.1 AS share",
+        "trn_06_history_hits": f"{ORACLE_LOGS}, i AS (SELECT DISTINCT test_item_id AS t FROM logs) SELECT t AS req_item, -(t * 10 + 1) AS item, CASE WHEN t % 2 = 0 THEN 'ab001' ELSE 'nd001' END AS issue_type, CAST(0.0001 AS DOUBLE) AS score FROM i UNION ALL SELECT t, -(t * 10 + 2), 'si001', CAST(0.0001 AS DOUBLE) FROM i WHERE t % 2 = 0",
+        "trn_08_split": "SELECT unnest([0, 1]) AS target, CAST(0.1 AS DOUBLE) AS share",
         "agg_17_defects": f"{ORACLE_LOGS} SELECT project, count(*) FILTER (WHERE issue_type IS NOT NULL AND lower(issue_type) NOT LIKE 'ti%') AS defects FROM logs GROUP BY 1",
         "agg_22_launch_stats": f"{ORACLE_LOGS} SELECT launch_id, count(DISTINCT test_item_id) AS items, count(*) AS logs, count(*) FILTER (WHERE issue_type IS NULL) AS not_found FROM logs GROUP BY 1",
         "trn_14_triggers": f"""{ORACLE_LOGS}, c AS (SELECT project, launch_id AS seq, sum(CAST(log_level >= 40000 AS BIGINT)) AS g FROM logs GROUP BY ALL),
