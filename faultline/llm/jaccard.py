@@ -3,14 +3,15 @@
 A global order of all n-grams is fixed first: common ones last, hash order else.
 How common an n-gram is comes from counters of fixed size over all documents, so
 the order is the same everywhere and small enough to broadcast.  Two sets that are
-similar enough share an n-gram in their prefixes (the first n - ceil(t n) + 1).
+similar enough share l n-grams in their prefixes (the first n - ceil(t n) + l), with
+l = 1 + n / 20 of the smaller set; so long texts with a few common phrases never meet.
 
 The order is cut into fragments.  For a candidate pair the overlap is counted in
 each fragment by itself, from the fragment's piece of either set, and summed.
 
 Equal sets count as one node.  Links are found in two passes.  In the first, each
-prefix n-gram links its holders to one hub, which joins groups of near copies
-without forming their pairs; components follow.  In the second, every pair that
+set is compared with one hub, the holder it meets in most prefix n-grams, which
+joins groups of near copies without forming their pairs; components follow.  In the second, every pair that
 shares a prefix n-gram across two components is compared, so no link between
 different components is missed, and links inside one can't change it.
 """
@@ -36,7 +37,8 @@ SHINGLE = 5
 THRESHOLD = (75, 100)
 COUNTERS = 1 << 18
 COUNTER_BLOCKS = 16
-FRAGMENTS = 8
+#: Prefixes are longer by one n-gram in so many, and links share that many more in them.
+EXTRA = 20
 #: Tokens are 62-bit hashes below one bit that is set for common n-grams.
 COMMON_BIT = 62
 ROWS = 1000
@@ -77,7 +79,7 @@ def _set_ids(tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def _prefix_lengths(n: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
     up, down = threshold
-    return np.where(n > 0, n - -(-n * up // down) + 1, 0)
+    return np.where(n > 0, n - -(-n * up // down) + 1 + n // EXTRA, 0)
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +138,7 @@ def _in_prefix(offsets: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
 
 
 def _prefix_rows(size: int, threshold: tuple[int, int], common: Broadcast, repeated: Broadcast):
-    """Rows (t, sid, n, rank) of the prefix tokens that some other document may hold too; equal sets of a slice once."""
+    """Rows (t, sid, n) of the prefix tokens that some other document may hold too; equal sets of a slice once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.frombuffer(repeated.value, np.uint8)
@@ -150,7 +152,7 @@ def _prefix_rows(size: int, threshold: tuple[int, int], common: Broadcast, repea
             at = np.flatnonzero(_in_prefix(offsets, threshold) & once[row])
             at = at[in_bitmap(flags, mix(tokens[at]))]
             r = row[at]
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[at].view(np.int64)), pa.array(sids[r].view(np.int64)), pa.array(n[r].astype(np.int32)), pa.array((at - offsets[r]).astype(np.int32))], ["t", "sid", "n", "rank"])
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[at].view(np.int64)), pa.array(sids[r].view(np.int64)), pa.array(n[r].astype(np.int32))], ["t", "sid", "n"])
 
     return run
 
@@ -201,49 +203,50 @@ class JaccardJoin:
         self.common = context.broadcast(_common_counters(described))
         counted = self.rows.select("text").mapInArrow(_count_prefixes(size, threshold, self.common), "h long, n long")
         repeated = bitmap(counted.groupBy("h").agg(F.sum("n").alias("n")).where("n >= 2"), "h")
-        found = self.rows.select("text").mapInArrow(_prefix_rows(size, threshold, self.common, repeated), "t long, sid long, n int, rank int")
-        #: (t, sid, n, rank): the shared prefix tokens of each distinct set.
-        self.prefixes = stored(found.groupBy("t", "sid").agg(F.max("n").alias("n"), F.max("rank").alias("rank")), "prefixes")
+        found = self.rows.select("text").mapInArrow(_prefix_rows(size, threshold, self.common, repeated), "t long, sid long, n int")
+        #: (t, sid, n): the shared prefix tokens of each distinct set.
+        self.prefixes = stored(found.groupBy("t", "sid").agg(F.max("n").alias("n")), "prefixes")
 
-    def may_link(self, na: Column, ra: Column, nb: Column, rb: Column) -> Column:
-        """False only if sets of these sizes whose first shared token has these ranks can't be similar enough."""
+    def may_link(self, na: Column, nb: Column, shared: Column) -> Column:
+        """False only if sets of these sizes, with so many shared prefix tokens, can't be similar enough."""
         up, down = self.threshold
-        best = F.least(na - ra, nb - rb)  # the shared token and what follows it
-        return (F.least(na, nb) * down >= F.greatest(na, nb) * up) & (best * (up + down) >= (na + nb) * up)
+        return (F.least(na, nb) * down >= F.greatest(na, nb) * up) & (shared >= 1 + F.floor(F.least(na, nb) / EXTRA))
 
     def hub_pairs(self) -> DataFrame:
-        """(a, b): each holder of a prefix token with the token's hub, the holder of the smallest hash."""
-        rank = F.struct(F.xxhash64("sid").alias("p"), F.col("sid").alias("hub"), F.col("n").alias("hub_n"), F.col("rank").alias("hub_rank"))
-        hubs = self.prefixes.groupBy("t").agg(F.min(rank).alias("h"), F.count(F.lit(1)).alias("c")).where("c >= 2").select("t", "h.hub", "h.hub_n", "h.hub_rank")
-        met = self.prefixes.join(hubs, "t").where((F.col("sid") != F.col("hub")) & self.may_link(F.col("n"), F.col("rank"), F.col("hub_n"), F.col("hub_rank")))
-        return met.select(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b")).distinct()
+        """(a, b, n_a, n_b): each set with the hub it meets in most tokens; a token's hub is its holder of the smallest hash."""
+        holder = F.struct(F.xxhash64("sid").alias("p"), F.col("sid").alias("hub"), F.col("n").alias("n"))
+        hubs = self.prefixes.groupBy("t").agg(F.min(holder).alias("h"), F.count(F.lit(1)).alias("c")).where("c >= 2").select("t", "h.hub", F.col("h.n").alias("hub_n"))
+        met = self.prefixes.join(hubs, "t").where("sid <> hub")
+        votes = met.groupBy("sid", "hub").agg(F.count(F.lit(1)).alias("votes"), F.max("n").alias("n"), F.max("hub_n").alias("hub_n"))
+        near = votes.where(self.may_link(F.col("n"), F.col("hub_n"), F.col("votes")))
+        best = near.groupBy("sid").agg(F.max(F.struct("votes", "hub", "n", "hub_n")).alias("v"))
+        return best.select(F.col("sid").alias("a"), F.col("v.hub").alias("b"), F.col("v.n").alias("n_a"), F.col("v.hub_n").alias("n_b"))
 
     def pairs_across(self, components: DataFrame) -> DataFrame:
-        """(a, b): every pair that shares a prefix token and lies in two components."""
+        """(a, b, n_a, n_b): every pair across two components that shares as many prefix tokens as a link does."""
         placed = self.prefixes.join(components.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
         mixed = placed.groupBy("t").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("t")
         x = stored(placed.join(mixed, "t"), "mixed")
-        a, b = (x.select("t", *[F.col(c).alias(f"{s}_{c}") for c in ("sid", "n", "rank", "component")]) for s in "ab")
-        met = a.join(b, "t").where("a_component < b_component").where(self.may_link(F.col("a_n"), F.col("a_rank"), F.col("b_n"), F.col("b_rank")))
-        return met.select(F.least("a_sid", "b_sid").alias("a"), F.greatest("a_sid", "b_sid").alias("b")).distinct()
+        a, b = (x.select("t", *[F.col(c).alias(f"{s}_{c}") for c in ("sid", "n", "component")]) for s in "ab")
+        up, down = self.threshold
+        met = a.join(b, "t").where((F.col("a_component") < F.col("b_component")) & (F.least("a_n", "b_n") * down >= F.greatest("a_n", "b_n") * up))
+        shared = met.groupBy(F.col("a_sid").alias("a"), F.col("b_sid").alias("b")).agg(F.max("a_n").alias("n_a"), F.max("b_n").alias("n_b"), F.count(F.lit(1)).alias("shared"))
+        return shared.where(self.may_link(F.col("n_a"), F.col("n_b"), F.col("shared"))).drop("shared")
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """(a, b, overlap, n_a, n_b) of the pairs that are similar enough, by partial overlaps per fragment."""
         pairs = stored(pairs, "pairs")
         ends = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-        chosen = self.sets.where("n > 0").groupBy("sid").agg(F.min("key").alias("key"), F.max("n").alias("n")).join(ends, "sid")
-        chosen = stored(chosen, "chosen")
+        chosen = self.sets.where("n > 0").groupBy("sid").agg(F.min("key").alias("key")).join(ends, "sid")
         wanted = bitmap(chosen.select("key"), "key", 26)
         pieces = self.rows.select("key", "text").mapInArrow(_fragment_rows(self.size, self.common, wanted), "sid long, fragment int, tokens array<long>")
         pieces = stored(pieces.join(ends, "sid", "left_semi").dropDuplicates(["sid", "fragment"]), "fragments")
         left = pairs.join(pieces.select(F.col("sid").alias("a"), "fragment", F.col("tokens").alias("x")), "a")
         both = left.join(pieces.select(F.col("sid").alias("b"), "fragment", F.col("tokens").alias("y")), ["b", "fragment"])
-        partial = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("overlap"))
-        summed = partial.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
-        sizes = chosen.select("sid", "n")
+        partial = both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("x", "y")).alias("overlap"))
+        summed = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("overlap").alias("overlap"))
         up, down = self.threshold
-        judged = summed.join(sizes.select(F.col("sid").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("sid").alias("b"), F.col("n").alias("n_b")), "b")
-        return judged.where(F.col("overlap") * down >= (F.col("n_a") + F.col("n_b") - F.col("overlap")) * up)
+        return summed.where(F.col("overlap") * down >= (F.col("n_a") + F.col("n_b") - F.col("overlap")) * up)
 
     def membership(self) -> DataFrame:
         """(id, n_shingles, component_id) of every row: the smallest id reachable by links."""
