@@ -40,7 +40,7 @@ TEMPLATES = [
 
 LOGS_SQL = f"""
 SELECT event_id AS log_id, user_id * 100 + day(ts) AS test_item_id, day(ts) AS launch_id, user_id % 4 AS project,
-  'nightly ' || CAST(user_id % 3 AS STRING) AS launch_name, 'auto:' || CAST(user_id AS STRING) AS unique_id, user_id % 25 AS test_case_hash,
+  'nightly ' || CAST(user_id % 3 AS STRING) AS launch_name, 'auto:' || CAST(user_id AS STRING) AS unique_id, user_id AS test_case_hash,
   'checks-cart_itemNumber' || CAST(user_id % 9 AS STRING) || ' in com.acme.shop.CartTest' AS test_item_name,
   CASE WHEN event_id % 16 = 14 THEN 'PB001' WHEN event_id % 16 = 5 THEN 'ab001' WHEN user_id % 6 = 0 THEN 'AB001' WHEN user_id % 6 = 1 THEN 'pb001'
        WHEN user_id % 6 = 2 THEN 'si001' WHEN user_id % 6 = 3 THEN 'nd001' WHEN user_id % 6 = 4 THEN 'TI001' ELSE NULL END AS issue_type,

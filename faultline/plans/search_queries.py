@@ -90,7 +90,7 @@ def _scoped(mode: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         items = logs(spark, sf_dir).groupBy("test_item_id").agg(F.min("launch_id").alias("launch_id"), F.min("launch_name").alias("launch_name"), F.min("test_case_hash").alias("hash"))
         r = items.withColumn("previous_launch_id", F.col("launch_id") - 1).alias("r")
-        return r.join(items.alias("h"), F.expr("r.hash = h.hash AND r.test_item_id <> h.test_item_id")).where(R.in_launch_scope(mode)).select(F.col("r.test_item_id").alias("req"), F.col("h.test_item_id").alias("item"), R.launch_boost(4.0, mode).alias("boost"))
+        return r.join(items.alias("h"), F.expr("r.hash % 25 = h.hash % 25 AND r.test_item_id <> h.test_item_id")).where(R.in_launch_scope(mode)).select(F.col("r.test_item_id").alias("req"), F.col("h.test_item_id").alias("item"), R.launch_boost(4.0, mode).alias("boost"))
 
     return query
 
@@ -99,7 +99,7 @@ def _scope_sql(mode: str) -> str:
     name, same, previous = "r.launch_name = h.launch_name", "r.launch_id = h.launch_id", "r.launch_id - 1 = h.launch_id"
     where = {"LAUNCH_NAME": f"{name} AND NOT {same}", "CURRENT_AND_THE_SAME_NAME": name, "CURRENT_LAUNCH": same, "PREVIOUS_LAUNCH": previous, "ALL": f"NOT {same}"}[mode]
     boost = {"PREVIOUS_LAUNCH": f"CASE WHEN {previous} THEN 4.0 ELSE 0 END", "LAUNCH_NAME": f"CASE WHEN {name} THEN 4.0 ELSE 0 END + CASE WHEN {same} THEN 0.25 ELSE 0 END", "CURRENT_AND_THE_SAME_NAME": f"CASE WHEN {name} THEN 4.0 ELSE 0 END + CASE WHEN {same} THEN 0.25 ELSE 0 END"}.get(mode, f"CASE WHEN {same} THEN 4.0 ELSE 0 END + CASE WHEN {name} THEN 4.0 ELSE 0 END")
-    return f"{ORACLE_LOGS}, i AS (SELECT test_item_id, min(launch_id) AS launch_id, min(launch_name) AS launch_name, min(test_case_hash) AS hash FROM logs GROUP BY 1) SELECT r.test_item_id AS req, h.test_item_id AS item, CAST({boost} AS DOUBLE) AS boost FROM i r JOIN i h ON r.hash = h.hash AND r.test_item_id <> h.test_item_id WHERE {where}"
+    return f"{ORACLE_LOGS}, i AS (SELECT test_item_id, min(launch_id) AS launch_id, min(launch_name) AS launch_name, min(test_case_hash) AS hash FROM logs GROUP BY 1) SELECT r.test_item_id AS req, h.test_item_id AS item, CAST({boost} AS DOUBLE) AS boost FROM i r JOIN i h ON r.hash % 25 = h.hash % 25 AND r.test_item_id <> h.test_item_id WHERE {where}"
 
 
 def flt_03_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
