@@ -1,8 +1,9 @@
 """Exact Jaccard self-join of documents on word n-grams, by vertical partitioning.
 
-A global order of all n-grams is fixed first: common ones last, hash order else.
-How common an n-gram is comes from counters of fixed size over all documents, so
-the order is the same everywhere and small enough to broadcast.  Two sets that are
+A global order of all n-grams is fixed first: rare ones first, by the frequency that
+their words' counts let expect, n-grams that stand out by their own count last, hash
+order else.  The counts come from counters of fixed size over all documents, so the
+order is the same everywhere and small enough to broadcast.  Two sets that are
 similar enough share l n-grams in their prefixes (the first n - ceil(t n) + l), with
 l = 1 + n / 20 of the smaller set; so long texts with a few common phrases never meet.
 
@@ -36,19 +37,47 @@ from faultline.llm.words import lower_ascii, mix, string_buffers, window_hashes,
 SHINGLE = 5
 THRESHOLD = (75, 100)
 COUNTERS = 1 << 18
-COUNTER_BLOCKS = 16
+COUNTER_BLOCKS = 48
 #: Prefixes are longer by one n-gram in so many, and links share that many more in them.
 EXTRA = 20
-#: Tokens are 62-bit hashes below one bit that is set for common n-grams.
-COMMON_BIT = 62
+WORD_COUNTERS = 1 << 19
+#: A token is a 56-bit hash below its rank: six bits of expected frequency, all set for n-grams that stand out.
+HASH_BITS, RANK_BITS = 56, 6
+STANDS_OUT = (1 << RANK_BITS) - 1
 ROWS = 1000
 
 
-def _sets(column: pa.Array, size: int, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens, offsets): each row's distinct n-grams in ascending order, one row after another."""
+class Order:
+    """The global order: log counts of words by counter, and the n-gram counters that stand out."""
+
+    def __init__(self, words: np.ndarray, grams: np.ndarray):
+        self.logs = np.log2(words + 1.0).astype(np.float32)
+        self.total = float(np.log2(words.sum() + 1.0))
+        mean = grams.mean()
+        self.standing_out = grams > mean + 8 * math.sqrt(mean) + 64
+
+    def rank(self, tokens: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        ranks = np.clip(expected + 32, 0, STANDS_OUT - 1).astype(np.uint64)
+        ranks[self.standing_out[_counter(tokens)]] = STANDS_OUT
+        return ranks
+
+
+def _counter(tokens: np.ndarray) -> np.ndarray:
+    return (tokens & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
+def _word_counter(words: np.ndarray) -> np.ndarray:
+    return (words & np.uint64(WORD_COUNTERS - 1)).astype(np.int64)
+
+
+def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = string_buffers(column)
     start, end, first = word_bounds(data, offsets)
-    words = word_hashes(lower_ascii(data), start, end)
+    return word_hashes(lower_ascii(data), start, end), first
+
+
+def _sets(words: np.ndarray, first: np.ndarray, size: int, order: Order | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, offsets): each row's distinct n-grams in the global order, one row after another."""
     counts = np.diff(first)
     grams = window_hashes(words, size)
     row = np.repeat(np.arange(len(counts)), counts)
@@ -58,11 +87,15 @@ def _sets(column: pa.Array, size: int, common: np.ndarray | None = None) -> tupl
     if len(few):
         whole = np.array([window_hashes(words[first[r] : first[r + 1]], int(counts[r]))[0] for r in few], np.uint64)
         tokens, rows = np.concatenate([tokens, mix(whole + counts[few].astype(np.uint64))]), np.concatenate([rows, few])
-    tokens = tokens >> np.uint64(64 - COMMON_BIT)
-    if common is not None:
-        tokens |= common[(tokens & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(COMMON_BIT)
-    order = np.lexsort((tokens, rows))
-    tokens, rows = tokens[order], rows[order]
+    tokens = tokens >> np.uint64(64 - HASH_BITS)
+    if order is not None:
+        logs = np.concatenate([[0.0], np.cumsum(order.logs[_word_counter(words)], dtype=np.float64)])
+        expected = (logs[size:] - logs[:-size])[: len(grams)][valid] - (size - 1) * order.total if len(grams) else np.zeros(0)
+        if len(few):
+            expected = np.concatenate([expected, logs[first[few + 1]] - logs[first[few]] - (counts[few] - 1) * order.total])
+        tokens = tokens | order.rank(tokens, np.round(expected)) << np.uint64(HASH_BITS)
+    by = np.lexsort((tokens, rows))
+    tokens, rows = tokens[by], rows[by]
     fresh = np.ones(len(tokens), bool)
     fresh[1:] = (tokens[1:] != tokens[:-1]) | (rows[1:] != rows[:-1])
     tokens, rows = tokens[fresh], rows[fresh]
@@ -71,6 +104,7 @@ def _sets(column: pa.Array, size: int, common: np.ndarray | None = None) -> tupl
 
 def _set_ids(tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """A 62-bit hash of each set, from sums that don't depend on the order of its tokens."""
+    tokens = tokens & np.uint64((1 << HASH_BITS) - 1)
     sums = np.zeros(len(tokens) + 1, np.uint64)
     np.cumsum(mix(tokens + np.uint64(77)), out=sums[1:])
     n = np.diff(offsets).astype(np.uint64)
@@ -92,13 +126,15 @@ def _describe(size: int):
     """Rows (key, id, n, sid) of documents, and at the end of a partition its counters in blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros(COUNTERS, np.int64)
+        counters = np.zeros(COUNTERS + WORD_COUNTERS, np.int64)
         names = ["key", "id", "n", "sid", "block", "counts"]
         for batch in _slices(batches):
-            tokens, offsets = _sets(batch.column(2), size)
-            counters += np.bincount((tokens & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-            k, none = batch.num_rows, pa.nulls
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(offsets)), pa.array(_set_ids(tokens, offsets).view(np.int64)), none(k, pa.int32()), none(k, pa.binary())], names)
+            words, first = _words(batch.column(2))
+            tokens, offsets = _sets(words, first, size)
+            counters[:COUNTERS] += np.bincount(_counter(tokens), minlength=COUNTERS)
+            counters[COUNTERS:] += np.bincount(_word_counter(words), minlength=WORD_COUNTERS)
+            k = batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(offsets)), pa.array(_set_ids(tokens, offsets).view(np.int64)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
         pieces = counters.reshape(COUNTER_BLOCKS, -1)
         none = [pa.nulls(COUNTER_BLOCKS, pa.int64())] * 4
         yield pa.RecordBatch.from_arrays([*none, pa.array(np.arange(COUNTER_BLOCKS, dtype=np.int32)), pa.array([p.tobytes() for p in pieces], pa.binary())], names)
@@ -106,24 +142,23 @@ def _describe(size: int):
     return run
 
 
-def _common_counters(described: DataFrame) -> np.ndarray:
-    """Which counters stand out: more than the mean by 64 and by eight deviations of a random filling."""
+def _global_order(described: DataFrame) -> Order:
+    """Sums the counters of all partitions, block by block."""
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(c, np.int64) for c in group["counts"])
         return pd.DataFrame({"block": group["block"].iloc[:1].to_numpy(), "counts": [total.tobytes()]})
 
-    rows = described.where("block is not null").select("block", "counts").groupBy("block").applyInPandas(add, "block int, counts binary").collect()  # COUNTERS numbers
+    rows = described.where("block is not null").select("block", "counts").groupBy("block").applyInPandas(add, "block int, counts binary").collect()  # a fixed number of counters
     counts = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(rows, key=lambda r: r["block"])])
-    mean = counts.mean()
-    return counts > mean + 8 * math.sqrt(mean) + 64
+    return Order(counts[COUNTERS:], counts[:COUNTERS])
 
 
-def _count_prefixes(size: int, threshold: tuple[int, int], common: Broadcast):
+def _count_prefixes(size: int, threshold: tuple[int, int], order: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def hashes():
             for batch in _slices(batches):
-                tokens, offsets = _sets(batch.column(0), size, common.value)
+                tokens, offsets = _sets(*_words(batch.column(0)), size, order.value)
                 yield tokens[_in_prefix(offsets, threshold)]
 
         for found, n in counted_batches(hashes()):
@@ -137,14 +172,14 @@ def _in_prefix(offsets: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
     return np.arange(offsets[-1]) - np.repeat(offsets[:-1], n) < np.repeat(_prefix_lengths(n, threshold), n)
 
 
-def _prefix_rows(size: int, threshold: tuple[int, int], common: Broadcast, repeated: Broadcast):
+def _prefix_rows(size: int, threshold: tuple[int, int], order: Broadcast, repeated: Broadcast):
     """Rows (t, sid, n) of the prefix tokens that some other document may hold too; equal sets of a slice once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.frombuffer(repeated.value, np.uint8)
         for batch in _slices(batches):
-            tokens, offsets = _sets(batch.column(0), size, common.value)
-            sids = _set_ids(tokens & np.uint64((1 << COMMON_BIT) - 1), offsets)
+            tokens, offsets = _sets(*_words(batch.column(0)), size, order.value)
+            sids = _set_ids(tokens, offsets)
             once = np.zeros(len(sids), bool)
             once[np.unique(sids, return_index=True)[1]] = True
             n = np.diff(offsets)
@@ -157,7 +192,7 @@ def _prefix_rows(size: int, threshold: tuple[int, int], common: Broadcast, repea
     return run
 
 
-def _fragment_rows(size: int, common: Broadcast, wanted: Broadcast):
+def _fragment_rows(size: int, order: Broadcast, wanted: Broadcast):
     """Rows (sid, fragment, tokens) of the sets that take part in a candidate pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,10 +201,10 @@ def _fragment_rows(size: int, common: Broadcast, wanted: Broadcast):
             keep = in_bitmap(flags, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
             if not keep.any():
                 continue
-            tokens, offsets = _sets(batch.column(1).filter(pa.array(keep)), size, common.value)
-            sids = _set_ids(tokens & np.uint64((1 << COMMON_BIT) - 1), offsets)
+            tokens, offsets = _sets(*_words(batch.column(1).filter(pa.array(keep))), size, order.value)
+            sids = _set_ids(tokens, offsets)
             row = np.repeat(np.arange(len(sids)), np.diff(offsets))
-            piece = (tokens >> np.uint64(COMMON_BIT + 1 - 3)).astype(np.int64)
+            piece = (tokens >> np.uint64(HASH_BITS + RANK_BITS - 3)).astype(np.int64)
             cut = np.ones(len(tokens), bool)
             cut[1:] = (piece[1:] != piece[:-1]) | (row[1:] != row[:-1])
             head = np.flatnonzero(cut)
@@ -200,12 +235,14 @@ class JaccardJoin:
         #: (key, id, n, sid): each row's set.
         self.sets = described.where("block is null").select("key", "id", "n", "sid")
         context = docs.sparkSession.sparkContext
-        self.common = context.broadcast(_common_counters(described))
-        counted = self.rows.select("text").mapInArrow(_count_prefixes(size, threshold, self.common), "h long, n long")
+        self.order = context.broadcast(_global_order(described))
+        counted = self.rows.select("text").mapInArrow(_count_prefixes(size, threshold, self.order), "h long, n long")
         repeated = bitmap(counted.groupBy("h").agg(F.sum("n").alias("n")).where("n >= 2"), "h")
-        found = self.rows.select("text").mapInArrow(_prefix_rows(size, threshold, self.common, repeated), "t long, sid long, n int")
-        #: (t, sid, n): the shared prefix tokens of each distinct set.
-        self.prefixes = stored(found.groupBy("t", "sid").agg(F.max("n").alias("n")), "prefixes")
+        found = self.rows.select("text").mapInArrow(_prefix_rows(size, threshold, self.order, repeated), "t long, sid long, n int")
+        distinct = found.groupBy("t", "sid").agg(F.max("n").alias("n"))
+        holders = distinct.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c >= 2")
+        #: (t, sid, n, c): the prefix tokens of each distinct set that c > 1 sets hold.
+        self.prefixes = stored(distinct.join(holders, "t"), "prefixes")
 
     def may_link(self, na: Column, nb: Column, shared: Column) -> Column:
         """False only if sets of these sizes, with so many shared prefix tokens, can't be similar enough."""
@@ -213,14 +250,21 @@ class JaccardJoin:
         return (F.least(na, nb) * down >= F.greatest(na, nb) * up) & (shared >= 1 + F.floor(F.least(na, nb) / EXTRA))
 
     def hub_pairs(self) -> DataFrame:
-        """(a, b, n_a, n_b): each set with the hub it meets in most tokens; a token's hub is its holder of the smallest hash."""
-        holder = F.struct(F.xxhash64("sid").alias("p"), F.col("sid").alias("hub"), F.col("n").alias("n"))
-        hubs = self.prefixes.groupBy("t").agg(F.min(holder).alias("h"), F.count(F.lit(1)).alias("c")).where("c >= 2").select("t", "h.hub", F.col("h.n").alias("hub_n"))
+        """(a, b, n_a, n_b): each set with the hubs it meets in most tokens.
+
+        A token has two hubs: its holder whose prefix is shared most, as an original's is
+        by its edited copies, and its holder of the smallest hash.
+        """
+        worth = self.prefixes.groupBy("sid").agg((F.sum(F.log2("c")) / (F.max("n") + 1)).alias("worth"))
+        ranked = self.prefixes.join(worth, "sid")
+        holder = lambda *first: F.struct(*first, F.col("sid").alias("hub"), F.col("n").alias("n"))
+        hubs = ranked.groupBy("t").agg(F.array(F.max(holder("worth", F.xxhash64("sid").alias("h"))), F.min(holder(F.lit(0.0).alias("worth"), F.xxhash64("sid").alias("h")))).alias("hubs"))
+        hubs = hubs.select("t", F.posexplode("hubs").alias("kind", "h")).select("t", "kind", "h.hub", F.col("h.n").alias("hub_n"))
         met = self.prefixes.join(hubs, "t").where("sid <> hub")
-        votes = met.groupBy("sid", "hub").agg(F.count(F.lit(1)).alias("votes"), F.max("n").alias("n"), F.max("hub_n").alias("hub_n"))
+        votes = met.groupBy("sid", "kind", "hub").agg(F.count(F.lit(1)).alias("votes"), F.max("n").alias("n"), F.max("hub_n").alias("hub_n"))
         near = votes.where(self.may_link(F.col("n"), F.col("hub_n"), F.col("votes")))
-        best = near.groupBy("sid").agg(F.max(F.struct("votes", "hub", "n", "hub_n")).alias("v"))
-        return best.select(F.col("sid").alias("a"), F.col("v.hub").alias("b"), F.col("v.n").alias("n_a"), F.col("v.hub_n").alias("n_b"))
+        best = near.groupBy("sid", "kind").agg(F.max(F.struct("votes", "hub", "n", "hub_n")).alias("v"))
+        return best.select(F.col("sid").alias("a"), F.col("v.hub").alias("b"), F.col("v.n").alias("n_a"), F.col("v.hub_n").alias("n_b")).distinct()
 
     def pairs_across(self, components: DataFrame) -> DataFrame:
         """(a, b, n_a, n_b): every pair across two components that shares as many prefix tokens as a link does."""
@@ -239,7 +283,7 @@ class JaccardJoin:
         ends = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
         chosen = self.sets.where("n > 0").groupBy("sid").agg(F.min("key").alias("key")).join(ends, "sid")
         wanted = bitmap(chosen.select("key"), "key", 26)
-        pieces = self.rows.select("key", "text").mapInArrow(_fragment_rows(self.size, self.common, wanted), "sid long, fragment int, tokens array<long>")
+        pieces = self.rows.select("key", "text").mapInArrow(_fragment_rows(self.size, self.order, wanted), "sid long, fragment int, tokens array<long>")
         pieces = stored(pieces.join(ends, "sid", "left_semi").dropDuplicates(["sid", "fragment"]), "fragments")
         left = pairs.join(pieces.select(F.col("sid").alias("a"), "fragment", F.col("tokens").alias("x")), "a")
         both = left.join(pieces.select(F.col("sid").alias("b"), "fragment", F.col("tokens").alias("y")), ["b", "fragment"])

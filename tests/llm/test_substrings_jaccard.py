@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from faultline.llm import jaccard, substrings
 from faultline.llm.components import connected_components
 from faultline.llm.jaccard import JaccardJoin
@@ -61,7 +63,7 @@ def test_groups_match_brute_force(spark):
 
 
 def test_groups_whatever_counts_as_common(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "_common_counters", lambda described: __import__("numpy").arange(jaccard.COUNTERS) % 3 == 0)
+    monkeypatch.setattr(jaccard, "_global_order", lambda described: jaccard.Order(np.arange(jaccard.WORD_COUNTERS) % 977, np.where(np.arange(jaccard.COUNTERS) % 3, 0, 10**6)))
     membership(spark, documents(spark))
 
 
