@@ -11,9 +11,10 @@ The order is cut into fragments.  For a candidate pair the overlap is counted in
 each fragment by itself, from the fragment's piece of either set, and summed.
 
 Equal sets count as one node.  Links are found in two passes.  In the first, each
-set is compared with one hub, the holder it meets in most prefix n-grams, which
-joins groups of near copies without forming their pairs; components follow.  In the second, every pair that
-shares a prefix n-gram across two components is compared, so no link between
+set is compared with two hubs, the holders it meets in most prefix n-grams, which
+joins groups of near copies without forming their pairs; components follow.  In the
+second, every pair that shares enough prefix n-grams across two components is
+compared, so no link between
 different components is missed, and links inside one can't change it.
 """
 
@@ -44,7 +45,7 @@ WORD_COUNTERS = 1 << 19
 #: A token is a 56-bit hash below its rank: six bits of expected frequency, all set for n-grams that stand out.
 HASH_BITS, RANK_BITS = 56, 6
 STANDS_OUT = (1 << RANK_BITS) - 1
-ROWS = 1000
+ROWS = 400
 
 
 class Order:
@@ -221,7 +222,7 @@ class JaccardJoin:
 
     Rows with fewer words have one n-gram, the whole sequence; null, empty and
     wordless texts have an empty set and link with nothing.  Two rows link when
-    100 * overlap >= threshold * union, exactly up to collisions of 62-bit hashes.
+    100 * overlap >= threshold * union, exactly up to collisions of 56-bit hashes.
     Repeated rows link like any equal texts; extra columns are not read.
 
     ``linked`` returns pairs between distinct sets, ``membership`` a row per document.
