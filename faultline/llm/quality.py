@@ -1,11 +1,10 @@
 """Quality rules whose cutoffs carry a bound on wrongly rejected documents.
 
 Every statistic is computed inside its row with array functions, so the text is
-never shuffled.  Cutoffs are chosen on a labelled holdout: for each rule, stratum
-and candidate cutoff, the number of clean holdout documents that the cutoff would
-reject is tested with the exact binomial tail; a cutoff is admitted only if its
-false-rejection rate is at most ``max_false_rejection`` at a confidence that is
-Bonferroni-corrected for all tests made.
+never shuffled.  Cutoffs are chosen on a labelled holdout: the exact binomial tail says
+how many clean holdout documents of a stratum all rules together may reject so that
+their joint false-rejection rate is at most ``max_false_rejection``, at a confidence
+that is Bonferroni-corrected for the strata.
 """
 
 from __future__ import annotations
@@ -95,30 +94,43 @@ def risk_controlled_cutoffs(holdout: DataFrame, stratum: str, rules: list[str],
     """(stratum, rule, cutoff, n_clean, n_rejected, tail): per rule and stratum the most severe admitted cutoff.
 
     ``holdout`` has one row per labelled document: the stratum, a boolean ``clean``
-    and one score column per rule.  Candidates are ``n_cutoffs`` quantiles of the
-    clean scores in their upper 2 %; a document is rejected when its score exceeds
-    the cutoff.  Every (stratum, rule, cutoff) is one test; each gets an equal share
-    of ``1 - confidence``.  Each rule gets an equal share of the false-rejection
-    budget, so all rules together stay below ``max_false_rejection`` per stratum.
-    A stratum with too few labelled rows to prove the bound admits no cutoff.
+    and one score column per rule.  A document is rejected when a score exceeds its
+    rule's cutoff.  The clean rows of a stratum are cut one after the other along the
+    rules, so what lies beyond the cutoffs consists of statistically equivalent blocks:
+    K blocks together reject more than ``max_false_rejection`` of all clean documents
+    with probability P(X < K), X binomial over the clean rows, however the rules
+    depend on each other.  The largest K whose probability is at most the stratum's
+    level is dealt to the rules in turn, and a rule with j blocks may reject at most
+    j - 1 clean rows.  K depends on the number of rows alone, so the cutoffs tried are
+    no tests of their own; ``1 - confidence`` is shared by the strata that could prove
+    the bound by themselves, and any other stratum admits no cutoff.
     """
     budget = max_false_rejection / len(rules)
-    grid = [1 - 0.02 * (n_cutoffs - 1 - i) / (n_cutoffs - 1) for i in range(n_cutoffs)]
-    pairs = F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).cast("double").alias("score")) for r in rules])
+    grid = [1 - budget * (n_cutoffs - 1 - i) / (n_cutoffs - 1) for i in range(n_cutoffs)]
+    pairs = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(k).alias("place"), F.col(r).cast("double").alias("score")) for k, r in enumerate(rules)])
     long = holdout.where("clean").select(F.col(stratum).alias("stratum"), F.explode(pairs).alias("e")).select("stratum", "e.*")
-    cuts = long.groupBy("stratum", "rule").agg(F.count(F.lit(1)).alias("n_clean"), F.array_distinct(F.percentile_approx("score", grid, 20_000)).alias("cuts"))
+    cuts = long.groupBy("stratum", "rule", "place").agg(F.count(F.lit(1)).alias("n_clean"), F.array_distinct(F.percentile_approx("score", grid, 20_000)).alias("cuts"))
     passed = (
         long.join(F.broadcast(cuts.select("stratum", "rule", "cuts")), ["stratum", "rule"])  # one row per stratum and rule
         .select("stratum", "rule", F.explode(F.filter("cuts", lambda c: c < F.col("score"))).alias("cutoff"))
         .groupBy("stratum", "rule", "cutoff")
         .agg(F.count(F.lit(1)).alias("n_rejected"))
     )
-    candidates = cuts.select("stratum", "rule", "n_clean", F.explode("cuts").alias("cutoff"))
+    sizes = cuts.where("place = 0").select("stratum", "n_clean")
+    able = sizes.where(F.pow(F.lit(1 - max_false_rejection), F.col("n_clean")) <= 1 - confidence)
+    level = able.agg((F.lit(1 - confidence) / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("_level"))
+    most = F.floor(F.col("n_clean") * max_false_rejection)
+    steps = F.sequence(F.lit(1).cast("long"), F.lit(n_cutoffs).cast("long"))
+    blocks = F.array_union(steps, F.transform(steps, lambda i: F.floor(F.col("n_clean") * max_false_rejection * i / n_cutoffs)))
+    proved = able.select("stratum", "n_clean", F.explode(F.filter(blocks, lambda k: (k >= 1) & (k <= most))).alias("blocks"))
+    proved = proved.withColumn("tail", binomial_tail(F.col("blocks") - 1, F.col("n_clean"), max_false_rejection)).join(F.broadcast(level)).where("tail <= _level")  # one row
+    granted = proved.groupBy("stratum").agg(F.max(F.struct("blocks", "tail")).alias("g")).select("stratum", "g.*")
+    candidates = cuts.select("stratum", "rule", "place", "n_clean", F.explode("cuts").alias("cutoff"))
     tests = candidates.join(passed, ["stratum", "rule", "cutoff"], "left").withColumn("n_rejected", F.coalesce("n_rejected", F.lit(0)).cast("long"))
-    tests = tests.withColumn("tail", binomial_tail(F.col("n_rejected"), F.col("n_clean"), budget))
-    level = candidates.agg((F.lit(1 - confidence) / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("_level"))
+    own = F.floor((F.col("blocks") + len(rules) - 1 - F.col("place")) / len(rules))
     best = Window.partitionBy("stratum", "rule").orderBy("cutoff")
-    admitted = tests.join(F.broadcast(level)).where(F.col("tail") <= F.col("_level")).drop("_level")  # one row
+    admitted = tests.join(F.broadcast(granted), "stratum").where(F.col("n_rejected") < own)  # one row per stratum
+    admitted = admitted.select("stratum", "rule", "cutoff", "n_clean", "n_rejected", "tail")
     return admitted.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r")
 
 

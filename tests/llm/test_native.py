@@ -77,6 +77,18 @@ def test_cutoffs_keep_clean_rows(spark):
     assert found[0]["n_rejected"] / found[0]["n_clean"] <= 0.01 and found[0]["cutoff"] < 0.999
 
 
+def test_rules_share_one_budget(spark):
+    rows = [("en", 0.0, k / 2000, True) for k in range(2000)] + [("de", 0.0, k / 500, True) for k in range(500)]
+    holdout = spark.createDataFrame(rows, "lang string, flat double, steep double, clean boolean")
+    found = {(r["stratum"], r["rule"]): r for r in risk_controlled_cutoffs(holdout, "lang", ["flat", "steep"]).collect()}
+    # 2000 rows grant 4 or 5 blocks at 0.5 %, 500 rows none: 0.995 ** 500 > 0.05.
+    blocks = max(k for k in range(1, 11) if sum(math.comb(2000, j) * 0.005**j * 0.995 ** (2000 - j) for j in range(k)) <= 0.05)
+    assert set(found) == {("en", "flat"), ("en", "steep")}
+    assert found["en", "flat"]["cutoff"] == 0.0 and found["en", "flat"]["n_rejected"] == 0
+    assert found["en", "steep"]["n_rejected"] <= blocks // 2 - 1
+    assert all(r["tail"] <= 0.05 for r in found.values())
+
+
 def test_verdicts_without_labels_and_rows(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     out = quality_verdicts(documents(spark), labels)
