@@ -28,7 +28,7 @@ def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = logs(spark, sf_dir).where("log_level >= 40000")
     a = rows.select(F.col("test_item_id").alias("req_item"), F.col("log_id").alias("req"), "test_case_hash", F.col("launch_id").alias("r_launch"))
     b = rows.select(F.col("test_item_id").alias("item"), F.col("log_id").alias("hit"), "test_case_hash", "issue_type", "log_level", F.length("message").alias("length"), F.date_trunc("day", "log_time").alias("start_time"), "is_auto_analyzed", F.col("launch_id").alias("h_launch"))
-    pairs = a.join(b, "test_case_hash").where("req_item <> item AND req % 8 = 1")
+    pairs = a.join(b, "test_case_hash").where("req_item <> item")
     return pairs.withColumn("score", ((F.col("req") * 31 + F.col("hit") * 17) % 97) / 10.0).withColumn("hit_pos", F.row_number().over(Window.partitionBy("req").orderBy(F.col("score").desc(), "hit")) - 1)
 
 
