@@ -10,6 +10,8 @@ from .test_catalogue import ORACLES, SF, duck, plain  # noqa: F401
 #: A cut that an oracle still has -> what the whole job has in its place.
 HITS_CUT = (" AND a.log_id % 8 = 1", "")
 
+SEARCH_CUTS = [("log_level >= 50000 AND log_id % 16 <> 15", "log_level >= 40000"), (" WHERE log_id % 40 = 1)", ")")]
+
 
 def rows_of(spark, duck, name, cuts):  # noqa: F811
     sql = ORACLES[name]
@@ -35,3 +37,8 @@ def test_hits_match_brute_force(spark):
     errors = [r for r in logs(spark, SF).collect() if r["log_level"] >= 40000]
     want = {(a["log_id"], b["log_id"]) for a in errors for b in errors if a["test_case_hash"] == b["test_case_hash"] and a["test_item_id"] != b["test_item_id"]}
     assert {(r["req"], r["hit"]) for r in catalogue.queries()["ret_13_boosts"](spark, SF).collect()} == want
+
+
+def test_every_log_searches_every_log(spark, duck):  # noqa: F811
+    got, want = rows_of(spark, duck, "ret_01_more_like_this", SEARCH_CUTS)
+    assert got == want and got
