@@ -189,11 +189,11 @@ FROM g JOIN top ON top.req_item = g.req_item AND top.identity = g.identity AND t
 
 
 def fea_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = logs(spark, sf_dir).where("log_level >= 50000")
+    rows = logs(spark, sf_dir).where("log_level >= 40000")
     fields = {"message": F.col("message"), "only_numbers": T.only_numbers(F.col("message")), "urls": T.joined(T.extract_urls(F.col("message")), " "), "potential_status_codes": T.joined(T.status_codes(F.col("message")), " "), "launch_name": F.col("launch_name"), "launch_id": F.col("launch_id"), "test_case_hash": F.col("test_case_hash")}
     a = rows.select(F.col("test_item_id").alias("req_item"), F.col("log_id").alias("req"), *[c.alias(f"r_{n}") for n, c in fields.items()])
-    b = rows.select(F.col("log_id").alias("hit"), F.col("is_auto_analyzed").alias("h_is_auto_analyzed"), F.col("issue_type").alias("h_issue_type"), F.date_trunc("second", "log_time").alias("h_start_time"), *[c.alias(f"h_{n}") for n, c in fields.items()])
-    pairs = a.join(b, F.expr("hit > req AND hit <= req + 24"))
+    b = rows.select(F.col("test_item_id").alias("item"), F.col("log_id").alias("hit"), F.col("is_auto_analyzed").alias("h_is_auto_analyzed"), F.col("issue_type").alias("h_issue_type"), F.date_trunc("second", "log_time").alias("h_start_time"), *[c.alias(f"h_{n}") for n, c in fields.items()])
+    pairs = a.join(b, F.expr("r_test_case_hash = h_test_case_hash AND req_item <> item"))
     out = decide.pair_features(pairs, F.lit(NOW).cast("timestamp"))
     return out.select("req", "hit", *[c for c in out.columns if c.startswith("f_")])
 
@@ -217,10 +217,10 @@ ranked AS (SELECT g.req_item, g.item, round_even(score, 10) AS score, score AS r
 
 
 def mlp_09_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = logs(spark, sf_dir).where("log_level >= 50000")
-    a = rows.select(F.col("test_item_id").alias("req_item"), F.col("log_id").alias("req"), F.col("message").alias("r_message"))
-    b = rows.select(F.col("test_item_id").alias("item"), F.col("log_id").alias("hit"), F.col("message").alias("h_message"))
-    pairs = a.join(b, F.expr("hit > req AND hit <= req + 40 AND req % 4 = 0"))
+    rows = logs(spark, sf_dir).where("log_level >= 40000")
+    a = rows.select(F.col("test_item_id").alias("req_item"), F.col("log_id").alias("req"), "test_case_hash", F.col("message").alias("r_message"))
+    b = rows.select(F.col("test_item_id").alias("item"), F.col("log_id").alias("hit"), "test_case_hash", F.col("message").alias("h_message"))
+    pairs = a.join(b, "test_case_hash").where("req_item <> item")
     return decide.similarity_predictions(pairs).select("req", "item", "hit", "probability", "label")
 
 

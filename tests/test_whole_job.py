@@ -42,3 +42,12 @@ def test_hits_match_brute_force(spark):
 def test_every_log_searches_every_log(spark, duck):  # noqa: F811
     got, want = rows_of(spark, duck, "ret_01_more_like_this", SEARCH_CUTS)
     assert got == want and got
+
+
+def test_pairs_are_the_hits_of_all_logs(spark):
+    errors = [r for r in logs(spark, SF).collect() if r["log_level"] >= 40000]
+    want = {(a["log_id"], b["log_id"], b["test_item_id"]) for a in errors for b in errors if a["test_case_hash"] == b["test_case_hash"] and a["test_item_id"] != b["test_item_id"]}
+    features = [(r["req"], r["hit"]) for r in catalogue.queries()["fea_pair"](spark, SF).select("req", "hit").collect()]
+    assert sorted(features) == sorted((req, hit) for req, hit, _ in want)
+    best = [(r["req"], r["item"]) for r in catalogue.queries()["mlp_09_similarity"](spark, SF).select("req", "item").collect()]
+    assert sorted(best) == sorted({(req, item) for req, _, item in want})
