@@ -87,9 +87,9 @@ def ret_16_score_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scoped(mode: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        items = logs(spark, sf_dir).groupBy("test_item_id").agg(F.min("launch_id").alias("launch_id"), F.min("launch_name").alias("launch_name"), F.min("test_case_hash").alias("hash"))
+        items = logs(spark, sf_dir).groupBy("test_item_id").agg(F.min("launch_id").alias("launch_id"), F.min("launch_name").alias("launch_name"))
         r = items.withColumn("previous_launch_id", F.col("launch_id") - 1).alias("r")
-        return r.join(items.alias("h"), F.expr("r.hash % 25 = h.hash % 25 AND r.test_item_id <> h.test_item_id")).where(R.in_launch_scope(mode)).select(F.col("r.test_item_id").alias("req"), F.col("h.test_item_id").alias("item"), R.launch_boost(4.0, mode).alias("boost"))
+        return r.join(items.alias("h"), F.expr("r.test_item_id <> h.test_item_id")).where(R.in_launch_scope(mode)).select(F.col("r.test_item_id").alias("req"), F.col("h.test_item_id").alias("item"), R.launch_boost(4.0, mode).alias("boost"))
 
     return query
 

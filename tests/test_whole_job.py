@@ -12,6 +12,8 @@ HITS_CUT = (" AND a.log_id % 8 = 1", "")
 
 SEARCH_CUTS = [("log_level >= 50000 AND log_id % 16 <> 15", "log_level >= 40000"), (" WHERE log_id % 40 = 1)", ")")]
 
+SCOPE_CUT = ("r.hash % 25 = h.hash % 25 AND ", "")
+
 
 def rows_of(spark, duck, name, cuts):  # noqa: F811
     sql = ORACLES[name]
@@ -51,3 +53,9 @@ def test_pairs_are_the_hits_of_all_logs(spark):
     assert sorted(features) == sorted((req, hit) for req, hit, _ in want)
     best = [(r["req"], r["item"]) for r in catalogue.queries()["mlp_09_similarity"](spark, SF).select("req", "item").collect()]
     assert sorted(best) == sorted({(req, item) for req, _, item in want})
+
+
+@pytest.mark.parametrize("name", sorted(n for n in ORACLES if n.startswith("flt_09_scope_")))
+def test_scope_is_the_only_condition(spark, duck, name):  # noqa: F811
+    got, want = rows_of(spark, duck, name, [SCOPE_CUT])
+    assert got == want and got
