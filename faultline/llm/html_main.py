@@ -43,13 +43,16 @@ BOILERPLATE_NAME = re.compile(
     re.I,
 )
 CONTENT_NAME = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|main|maincontent|content|body|text|prose)(?:$|[\s_-])", re.I)
+#: First parts of names that say what a page or container has or lacks, not what it is.
+MODIFIER_NAME = re.compile(r"(?:^|(?<=\s))(?:has|have|with|without|no|not|non|is|show|hide|enable|disable)[_-]\S*", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _SPACE = re.compile(r"\s+")
 
-#: Log-odds that the elements around a block add, and the bound on what the classifier adds.
-ELEMENT_ODDS = 6.0
+#: Log-odds that the elements around a block add, and the bound on what the classifier adds.  Below the sum of that
+#: bound and a block's edges (two neighbours on the page, two inside the parent), so that these together can overrule.
+ELEMENT_ODDS = 4.0
 SHAPE_BOUND = 3.0
 #: Smoothness: neighbours on the page, and neighbours inside one parent.
 NEXT_COST = 0.5
@@ -72,6 +75,7 @@ class _Open:
     name: str
     number: int
     evidence: int
+    named: bool = False  # evidence from a class, id or role
 
 
 @dataclass
@@ -82,21 +86,29 @@ class _Page:
     in_link: int = 0
 
 
-def _evidence(name: str, attributes: str, above: int) -> int:
-    """What an element says about the text in it; boilerplate stays boilerplate inside content, not the other way round."""
-    if above < 0 or name in BOILERPLATE:
-        return -1
+def _evidence(name: str, attributes: str, above: int, named: bool = False) -> tuple[int, bool]:
+    """What an element says about the text in it, and whether only a name says so.
+
+    Boilerplate stays boilerplate inside content, not the other way round; but where
+    only a name made it boilerplate, an ``article`` or ``main`` inside that is not
+    named so itself leaves the text to the classifier and its neighbours.
+    """
+    if above < 0 and not named or name in BOILERPLATE:
+        return -1, False
+    names = ""
     if attributes:
         if "hidden" in attributes or "none" in attributes:
             if _HIDDEN.search(attributes):
-                return -1
-        names = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes))
-        if names:
-            if BOILERPLATE_NAME.search(names) and name not in CONTENT and name != "body" and name != "html":
-                return -1
-            if CONTENT_NAME.search(names):
-                return 1
-    return 1 if name in CONTENT else above
+                return -1, False
+        names = MODIFIER_NAME.sub(" ", " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)))
+    boilerplate = bool(BOILERPLATE_NAME.search(names))
+    if above < 0:
+        return (0, False) if name in CONTENT and not boilerplate else (-1, True)
+    if boilerplate and name not in CONTENT and name != "body" and name != "html":
+        return -1, True
+    if CONTENT_NAME.search(names):
+        return 1, False
+    return (1 if name in CONTENT else above), False
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -160,7 +172,7 @@ def blocks_of(page: str) -> list[Block]:
             if name == "body":
                 del stack[1:]
             numbered += 1
-            stack.append(_Open(name, numbered, _evidence(name, m[3], stack[-1].evidence)))
+            stack.append(_Open(name, numbered, *_evidence(name, m[3], stack[-1].evidence, stack[-1].named)))
     if at < len(page):
         add_text(page[at:])
     flush()

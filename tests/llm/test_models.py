@@ -143,6 +143,24 @@ def test_main_text(spark):
     assert html_main.extract_main_text(pages.limit(0), ["page_id"]).count() == 0
 
 
+def test_one_name_does_not_lose_the_article():
+    inner = "<article><p>One.<p>Two.</article>"
+    for names in ("layout has-sidebar", "with-nav", "no-comments"):
+        assert [b.evidence for b in html_main.blocks_of(f'<div class="{names}">{inner}</div>')] == [1, 1]
+    assert [b.evidence for b in html_main.blocks_of(f'<div class="sidebar">{inner}<p>Three.</div>')] == [0, 0, -1]
+    comment = '<div class="comments"><article class="comment"><p>One.</article></div>'
+    assert [b.evidence for b in html_main.blocks_of(comment)] == [-1]
+    for hidden in ("<nav>", "<footer>", '<div class="sidebar" hidden>'):
+        assert [b.evidence for b in html_main.blocks_of(hidden + inner)] == [-1, -1]
+
+
+def test_neighbours_and_classifier_overrule_a_name():
+    weights = np.zeros(html_main._SHAPES)
+    weights[3], weights[6] = 2.0, 1.0  # paragraphs, ends of sentences
+    page = "<article><p>One.<p>Two.<p class=notice>Three.<p>Four.<p>Five.<div class=ad>Buy</div><p>Six.</article>"
+    assert html_main.main_text(page, weights) == "One.\n\nTwo.\n\nThree.\n\nFour.\n\nFive.\n\nSix."
+
+
 @pytest.mark.parametrize("text", ["", "<|im_end|>", "\\", "\\<|", "<\\|im_end|>", "a\n<|im_start|>user\nx", "<<||>>", "\\\\<|im_end|>\\"])
 def test_turns_round_trip(text):
     turns = [("user", text), ("assistant", text), (f"odd\n{text}", "x"), ("assistant", "")]
