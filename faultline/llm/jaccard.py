@@ -225,7 +225,8 @@ class JaccardJoin:
     100 * overlap >= threshold * union, exactly up to collisions of 56-bit hashes.
     Repeated rows link like any equal texts; extra columns are not read.
 
-    ``linked`` returns pairs between distinct sets, ``membership`` a row per document.
+    ``links`` returns the pairs of distinct sets that link, ``n_links`` and ``membership``
+    a row per document.
     """
 
     def __init__(self, docs: DataFrame, size: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD, id_col: str = "doc_id", text_col: str = "text"):
@@ -303,6 +304,24 @@ class JaccardJoin:
         smallest = placed.where("component is not null").groupBy("component").agg(F.min("id").alias("least"))
         return placed.join(smallest, "component", "left").select("key", "id", F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
 
+    def links(self) -> DataFrame:
+        """(a, b, overlap, n_a, n_b): every pair of distinct sets that link, inside components too.
+
+        All pairs that share prefix tokens are verified, so that a group of near copies
+        costs the square of its distinct sets; ``membership`` spares that.
+        """
+        alone = self.sets.select(F.col("sid").alias("node"), F.col("sid").alias("component")).limit(0)
+        return self.linked(self.pairs_across(alone))
+
+    def n_links(self) -> DataFrame:
+        """(key, id, n_shingles, n_links) of every row: how many other rows link with it."""
+        held = self.sets.where("n > 0").groupBy("sid").agg(F.count(F.lit(1)).alias("rows"))
+        ends = stored(self.links().select("a", "b"), "all_links")
+        both = ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        others = both.join(held.select(F.col("sid").alias("b"), "rows"), "b").groupBy(F.col("a").alias("sid")).agg(F.sum("rows").alias("others"))
+        counted = held.join(others, "sid", "left").select("sid", (F.col("rows") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+        return self.sets.join(counted, "sid", "left").select("key", "id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
     def one_of_each(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """The rows of ``docs`` (the joined table) without all but one of each group: the smallest id stays.
 

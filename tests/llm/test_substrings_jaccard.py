@@ -7,7 +7,7 @@ from faultline.llm.components import connected_components
 from faultline.llm.jaccard import JaccardJoin
 from faultline.llm.substrings import SuffixAutomaton, remove_repeats
 
-from .fixtures import documents, empty, link_components, removed_words, words
+from .fixtures import documents, empty, link_components, removed_words, shingles, words
 
 
 def removal(spark, docs):
@@ -67,6 +67,16 @@ def test_groups_whatever_counts_as_common(spark, monkeypatch):
     membership(spark, documents(spark))
 
 
+def test_links_match_brute_force(spark):
+    docs = documents(spark)
+    rows = docs.collect()
+    sets = [shingles(r["text"]) for r in rows]
+    near = lambda x, y: bool(x and y) and 100 * len(x & y) >= 75 * len(x | y)
+    want = sorted((repr(r["doc_id"]), sum(k != j and near(x, y) for j, y in enumerate(sets))) for k, (r, x) in enumerate(zip(rows, sets, strict=True)))
+    assert sorted((repr(r["id"]), r["n_links"]) for r in JaccardJoin(docs).n_links().collect()) == want
+    assert max(n for _, n in want) > 1
+
+
 def test_one_of_each_group_stays(spark):
     docs = documents(spark)
     rows = docs.collect()
