@@ -6,12 +6,11 @@ is its anchor, so equal windows have equal anchors; windows whose anchor occurs
 once in the corpus are done with.  The rest are compared by hash within their
 anchor, which tells exactly which windows occur twice.
 
-Documents are then streamed, shard by shard, past a suffix automaton of the
-shard's reference passages (each repeated window once).  The automaton's matching
-statistics give at every word the longest suffix found in the reference, and each
-maximal span of at least ``length`` words is removed.  A shard's automaton meets
-only the documents that hold one of its passages: broadcasting every automaton to
-every document would cost the square of the corpus.
+That count decides.  Workers then take slices of documents, build a suffix
+automaton from the windows found in a slice (each once) and stream the words under
+them through it: each maximal span of at least ``length`` words is removed, which
+are the words of those windows.  No automaton leaves its slice: meeting every
+document with every automaton would cost the square of the corpus.
 """
 
 from __future__ import annotations
@@ -32,7 +31,7 @@ LENGTH = 35
 GRAM = 12
 #: Anchors that occur more often are compared window by window in a skew-proof aggregation.
 HOT_ANCHOR = 4096
-#: Bytes of text in a reference shard; bounds the automaton's memory.
+#: Bytes of text in a slice; bounds the automaton's memory.
 SHARD_BYTES = 1 << 20
 
 
