@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.shared import stored
+from faultline.llm.shared import discard, stored
 
 #: The steps double the reach of a label, so this covers paths of any length that fits a table.
 MAX_ROUNDS = 60
@@ -29,8 +29,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        now = stored(small.distinct(), "edges")
+        last, now = now, stored(small.distinct(), "edges")
         state = _state(now)
+        discard(last)
         if state == seen:
             break
         seen = state

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +49,58 @@ def in_bitmap(flags: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (flags[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
+def spread_hashes(hashes: Iterator[np.ndarray], buckets: int, flush: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, hashes): the distinct hashes of a stream by their top bits, the next 32 bits of each, twice if it came twice.
+
+    ``buckets`` is a power of two.  Streams are merged in steps of about ``flush`` hashes.
+    """
+    top = np.uint64(64 - (buckets.bit_length() - 1))
+
+    def rows(held: list[np.ndarray]) -> pa.RecordBatch:
+        found = np.sort(np.concatenate(held) >> (top - np.uint64(32)))
+        keep = np.ones(len(found), bool)
+        keep[2:] = found[2:] != found[:-2]
+        found = found[keep]
+        bucket = (found >> np.uint64(32)).astype(np.int64)
+        cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+        low = found.astype("<u4")
+        full = np.flatnonzero(np.diff(cuts))
+        return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([low[cuts[k] : cuts[k + 1]].tobytes() for k in full], pa.binary())], ["bucket", "hashes"])
+
+    held, n = [], 0
+    for x in hashes:
+        held.append(x)
+        n += len(x)
+        if n >= flush:
+            yield rows(held)
+            held, n = [], 0
+    if n:
+        yield rows(held)
+
+
+def repeated_bitmap(spread, n_hashes: int, bits: int = 28) -> Broadcast:
+    """A broadcast bitmap of the hashes that come at least twice; ``spread(buckets)`` has the rows of ``spread_hashes``.
+
+    There are as many buckets as hold about two million hashes each, so that a task's
+    share does not grow with the table; each gives its own part of the bitmap.
+    """
+    spare = min(20, max(8, (n_hashes // 2_000_000).bit_length()))
+    rows = spread(1 << spare)
+
+    def repeated(group: pd.DataFrame) -> pd.DataFrame:
+        found = np.sort(np.concatenate([np.frombuffer(h, "<u4") for h in group["hashes"]]))
+        flags = np.zeros(1 << (bits - spare), np.uint8)
+        flags[found[1:][found[1:] == found[:-1]] >> np.uint32(32 - bits + spare)] = 1
+        return pd.DataFrame({"bucket": group["bucket"].iloc[:1].to_numpy(), "flags": [np.packbits(flags, bitorder="little").tobytes()]})
+
+    parts = rows.groupBy("bucket").applyInPandas(repeated, "bucket int, flags binary").collect()  # 2**bits bits
+    whole = np.zeros(1 << (bits - 3), np.uint8)
+    size = len(whole) >> spare
+    for row in parts:
+        whole[row["bucket"] * size : (row["bucket"] + 1) * size] = np.frombuffer(row["flags"], np.uint8)
+    return rows.sparkSession.sparkContext.broadcast(whole.tobytes())
+
+
 def counted_batches(hashes: Iterator[np.ndarray], flush: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(distinct hashes, counts) of a stream, merged in steps of about ``flush`` hashes before they are shuffled."""
     held, n = [], 0

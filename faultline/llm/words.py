@@ -12,6 +12,8 @@ word bytes, so every executor and every run agrees on them.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -72,6 +74,18 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[first:last], offsets - first
 
 
+def slices(batches: Iterator[pa.RecordBatch], text_at: int, rows: int = 1000, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Cuts batches so that no piece has more than ``rows`` rows, nor more bytes of text than ``size`` but for a single longer text."""
+    for batch in batches:
+        offsets = string_buffers(batch.column(text_at))[1]
+        lo = 0
+        while lo < batch.num_rows:
+            hi = int(np.searchsorted(offsets, offsets[lo] + size, "right")) - 1
+            hi = min(max(lo + 1, hi), lo + rows, batch.num_rows)
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 def is_space(data: np.ndarray) -> np.ndarray:
     return (data == 32) | ((data - np.uint8(9)) <= 4)
 
