@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.llm.shared import stored
-from faultline.llm.words import span_hashes
+from faultline.llm.words import mix, slices, span_hashes
 
 WINDOW = 2048
 END_ID = 1
@@ -69,8 +69,9 @@ class PieceEncoder:
     A byte-level BPE never merges across pre-tokens, so a text's ids are those of its
     pre-tokens one after another.  The merges of a single pre-token run in the byte-pair
     core of ``tiktoken``, built from the file's own vocabulary (ids are merge ranks);
-    texts with an apostrophe (contractions) go through ``tokenizers`` itself.  The
-    cache of a worker is bounded.
+    texts with an apostrophe (contractions) or a special token of the file go through
+    ``tokenizers`` itself.  Pre-tokens are known by two 64-bit hashes, and the cache of a
+    worker is bounded.
     """
 
     def __init__(self, path: str):
@@ -78,22 +79,22 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in a byte-level vocabulary
         other = [b for b in range(256) if b not in shown]
         byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(other)}
         vocab = self._tokenizer.get_vocab(with_added_tokens=False)
         special = {t.content for t in self._tokenizer.get_added_tokens_decoder().values()}
+        self._whole = regex.compile("|".join(map(regex.escape, ["'", *sorted(special)])))
         ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if token not in special}
         self._merge = tiktoken.Encoding("file", pat_str=".", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self._forget()
 
     def _forget(self) -> None:
-        self._known: dict[int, int] = {}
+        self._known: dict[tuple[int, int], int] = {}
         self._pool = np.zeros(1 << 16, np.uint16)
         self._at = np.zeros(1, np.int64)
 
-    def _learn(self, pieces: list[str], keys: list[int]) -> None:
+    def _learn(self, pieces: list[str], keys: list[tuple[int, int]]) -> None:
         found = [self._merge(p.encode()) for p in pieces]
         flat = np.array([i for x in found for i in x], np.uint16)
         ends = self._at[-1] + np.cumsum([len(x) for x in found])
@@ -105,21 +106,26 @@ class PieceEncoder:
         self._known.update(zip(keys, range(first, first + len(keys)), strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        plain = [t if "'" not in t else "" for t in texts]
+        whole = [self._whole.search(t) is not None for t in texts]
+        plain = ["" if w else t for t, w in zip(texts, whole, strict=True)]
         points = np.frombuffer("".join(plain).encode("utf-32-le", "surrogatepass"), np.uint32)
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in plain])])
         out = [np.zeros(0, np.uint16)] * len(texts)
         if len(points):
             start = piece_starts(points, offsets)
             end = np.append(start[1:], len(points))
-            keys, first, place = np.unique(span_hashes(points, start, end), return_index=True, return_inverse=True)
+            hashes, again = span_hashes(points, start, end), span_hashes(mix(points.astype(np.uint64)), start, end)
+            _, first, place = np.unique(hashes, return_index=True, return_inverse=True)
+            if (again[first][place] != again).any():  # two pre-tokens of one hash
+                return [np.array(self._tokenizer.encode(t, add_special_tokens=False).ids, np.uint16) for t in texts]
+            keys = list(zip(hashes[first].tolist(), again[first].tolist(), strict=True))
             if len(self._known) > CACHED_PIECES:
                 self._forget()
-            known = np.array([self._known.get(k, -1) for k in keys.tolist()])
+            known = np.array([self._known.get(k, -1) for k in keys])
             new = np.flatnonzero(known < 0)
             if len(new):
                 base = len(self._at) - 1
-                self._learn([points[s:e].tobytes().decode("utf-32-le") for s, e in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)], keys[new].tolist())
+                self._learn([points[s:e].tobytes().decode("utf-32-le") for s, e in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)], [keys[k] for k in new.tolist()])
                 known[new] = base + np.arange(len(new))
             entry = known[place]
             lengths = self._at[entry + 1] - self._at[entry]
@@ -128,7 +134,7 @@ class PieceEncoder:
             cuts = np.append(0, stops)[np.searchsorted(start, offsets)]
             out = [ids[lo:hi] for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
         for k, t in enumerate(texts):
-            if "'" in t:
+            if whole[k]:
                 out[k] = np.array(self._tokenizer.encode(t, add_special_tokens=False).ids, np.uint16)
         return out
 
@@ -147,18 +153,16 @@ def _tokenise(path: str, rows: int = 1024):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, at = encoder_for(path), TaskContext.get().partitionId(), 0
         end = np.array([END_ID], np.uint16)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, rows):
-                ids = batch.column(0).slice(lo, rows)
-                texts = [t or "" for t in batch.column(1).slice(lo, rows).to_pylist()]
-                packed = [np.append(x, end).astype("<u2").tobytes() for x in encoder.encode(texts)]
-                counts = np.array([len(p) // 2 for p in packed], np.int64)
-                starts = at + np.cumsum(counts) - counts
-                at += int(counts.sum())
-                yield pa.RecordBatch.from_arrays(
-                    [ids.cast(pa.int64()), pa.array(packed, pa.binary()), pa.array(counts), pa.array(starts), pa.array(np.full(len(packed), part, np.int32))],
-                    ["doc_id", "ids", "doc_tokens", "local_start", "part"],
-                )
+        for piece in slices(batches, 1, rows):
+            texts = [t or "" for t in piece.column(1).to_pylist()]
+            packed = [np.append(x, end).astype("<u2").tobytes() for x in encoder.encode(texts)]
+            counts = np.array([len(p) // 2 for p in packed], np.int64)
+            starts = at + np.cumsum(counts) - counts
+            at += int(counts.sum())
+            yield pa.RecordBatch.from_arrays(
+                [piece.column(0).cast(pa.int64()), pa.array(packed, pa.binary()), pa.array(counts), pa.array(starts), pa.array(np.full(len(packed), part, np.int32))],
+                ["doc_id", "ids", "doc_tokens", "local_start", "part"],
+            )
 
     return run
 
@@ -198,7 +202,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, id_col
     ``END_ID``; null and empty texts are the end id alone, rows may repeat, ids may be
     null, and an empty table gives no pieces.  Returns one row per piece: ``doc_id,
     start, length, ids_crc32, doc_tokens, sequence_id, offset``, with ``with_ids``
-    also its ``ids``.
+    also its ``ids``.  Other columns of ``docs`` are not read.  Special tokens of the file
+    that stand in a text become their ids, as in ``tokenizers``.  A worker takes slices of
+    at most 2 MB of text, a longer text by itself.
     """
     thin = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kept = thin.mapInArrow(_tokenise(tokenizer), "doc_id long, ids binary, doc_tokens long, local_start long, part int")
@@ -206,6 +212,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, id_col
     totals = kept.groupBy("part").agg(F.sum("doc_tokens").alias("_n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select(F.col("part").alias("_part"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))  # one row per partition
-    placed = kept.join(F.broadcast(bases), F.col("part") == F.col("_part")).select("doc_id", "ids", "doc_tokens", (F.col("local_start") + F.col("_base")).alias("global_start"))
+    placed = kept.join(bases, F.col("part") == F.col("_part")).select("doc_id", "ids", "doc_tokens", (F.col("local_start") + F.col("_base")).alias("global_start"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return placed.mapInArrow(_cut(window, with_ids), schema + ", ids array<int>" * with_ids)
