@@ -17,8 +17,7 @@ BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 def test_ids_equal_those_of_the_tokenizer():
     tokenizer = Tokenizer.from_file(BPE)
-    tokenizer.encode_special_tokens = True
-    odd = ["", " ", "  x", "x  ", "\n x", "a\n\n\nb \t c", "12ab 3²½x", "it's we'll", "<|endoftext|> x", " a b", "\x1c\x85"]
+    odd = ["", " ", "  x", "x  ", "\n x", "a\n\n\nb \t c", "12ab 3²½x", "it's we'll", "<|endoftext|> x", "a <|endoftext|> b", " a b", "\x1c\x85"]
     points = [chr(c) for c in range(1, 0x3000) if c != 39]
     odd += ["".join(points[k : k + 40]) + " " + "  ".join(points[k : k + 40]) for k in range(0, len(points), 40)]
     every = texts() + odd
@@ -94,14 +93,45 @@ def test_rates_meet_targets_and_kkt(spark):
     after = (tokens * rate) @ p
     assert np.allclose(after, mixture.after, rtol=1e-6)
     # The plain solution of the same least squares, iterated long enough.
-    budget, plain = tokens.sum(), np.ones(len(got))
+    budget, plain, before = tokens.sum(), np.ones(len(got)), tokens @ p
     for _ in range(4000):
-        residual = ((tokens * plain) @ p - budget * 0.5) / budget
+        residual = ((tokens * plain) @ p - budget * 0.5) / before
         plain = np.maximum(0, plain - (p @ residual + mixing.STIFFNESS * (plain - 1)) / (1 + mixing.STIFFNESS))
     assert np.abs(rate - plain).max() < 0.05
     assert np.abs(after / budget - 0.5).max() < 0.05
 
 
+@pytest.mark.parametrize("share", [0.02, 0.1, 0.9])
+def test_rates_settle_whatever_the_anchor_holds(spark, share):
+    rng = np.random.default_rng(2)
+    p = np.where(rng.random((2000, 1)) < share, [[0.97, 0.02, 0.01]], [[0.02, 0.9, 0.08]])
+    described = spark.createDataFrame([(int(n), x.tolist()) for n, x in zip(rng.integers(1, 400, 2000), p, strict=True)], "n_tokens long, posteriors array<double>")
+    weights = {"a": 0.5, "b": 0.3, "c": 0.2}
+    _, fit = mixing.solve(described, ["a", "b", "c"], weights, "a", 0.1)
+    assert np.isclose(fit.targets.sum(), 1.1 * fit.before[0] / 0.5) and np.isclose(fit.targets[0] / fit.targets.sum(), 0.5)
+    rates = fit.after / fit.before
+    assert (rates >= 0).all() and rates.max() < 60
+    # c has no documents of its own, so its target can't be reached; the fit says so, and is the least squares one.
+    assert not np.isclose(fit.after[2], fit.targets[2], rtol=0.02)
+    rows = described.collect()
+    tokens, q, plain = np.array([r["n_tokens"] for r in rows]), np.array([r["posteriors"] for r in rows]), np.ones(len(rows))
+    for _ in range(20000):
+        plain = np.maximum(0, plain - (q @ (((tokens * plain) @ q - fit.targets) / fit.before) + mixing.STIFFNESS * (plain - 1)) / (1 + mixing.STIFFNESS))
+    assert np.allclose(fit.after, (tokens * plain) @ q, rtol=0.03)
+
+
+def test_copies_are_the_rates_on_average(spark):
+    rows = [(k, f"{'plus' if k % 3 else 'minus'} word{k % 7} " * 5) for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labelled = spark.createDataFrame([(k, "plus" if k % 3 else "minus") for k in range(300)] + [(1, "plus"), (1, "plus")], "doc_id long, domain string")
+    out, fit = mixing.mix_sources(docs, labelled, {"plus": 0.8, "minus": 0.2}, "plus", margin=0.1)
+    got = out.collect()
+    p, tokens = np.array([r["posteriors"] for r in got]), np.array([r["n_tokens"] for r in got])
+    drawn = (tokens * np.array([r["copies"] for r in got])) @ p
+    assert np.allclose(fit.after, fit.targets, rtol=0.02) and np.allclose(drawn, fit.targets, rtol=0.05)
+    assert abs(np.mean([r["copies"] - r["rate"] for r in got])) < 0.03
+
+
 def test_mixing_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, domain string")
     out, _ = mixing.mix_sources(documents(spark), none, {})
