@@ -4,35 +4,33 @@ The texts that can repeat are first narrowed to reference passages.  Of the
 12-word grams of each window of ``length`` words, the one with the smallest hash
 is its anchor, so equal windows have equal anchors; windows whose anchor occurs
 once in the corpus are done with.  The rest are compared by hash within their
-anchor, which tells exactly which windows occur twice.
+anchor, which tells exactly which windows occur twice: two windows count as equal
+if the 64-bit hashes of both the anchor and the window are.
 
-That count decides.  Workers then take slices of documents, build a suffix
-automaton from the windows found in a slice (each once) and stream the words under
-them through it: each maximal span of at least ``length`` words is removed, which
-are the words of those windows.  No automaton leaves its slice: meeting every
-document with every automaton would cost the square of the corpus.
+No suffix automata are built: meeting every document with the automaton of every
+reference shard would cost the square of the corpus.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.shared import stored
+from faultline.llm.shared import discard, stored
 from faultline.llm.sketches import bitmap, counted_batches, in_bitmap
-from faultline.llm.words import sliding_min, string_buffers, window_hashes, word_bounds, word_hashes
+from faultline.llm.words import slices, sliding_min, string_buffers, window_hashes, word_bounds, word_hashes
 
 LENGTH = 35
 GRAM = 12
-#: Anchors that occur more often are compared window by window in a skew-proof aggregation.
+#: Windows under anchors that occur more often are laid out one a row, so that they are counted before they are shuffled.
 HOT_ANCHOR = 4096
-#: Bytes of text in a slice; bounds the automaton's memory.
-SHARD_BYTES = 1 << 20
 
 
 def _windows(column: pa.Array, length: int):
@@ -65,13 +63,11 @@ def _selected(grams: np.ndarray, least: np.ndarray, span: int) -> np.ndarray:
 def _count_anchors(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def hashes():
-            for batch in batches:
-                batch = batch.filter(pa.array(_at_most_twice(batch.column(1).to_numpy(zero_copy_only=False))))
-                for lo in range(0, batch.num_rows, 1000):
-                    words, valid, _, _ = _windows(batch.column(0).slice(lo, 1000), length)
-                    if valid.any():
-                        grams, least = _anchors(words, valid, length)
-                        yield grams[_selected(grams, least, length - min(GRAM, length) + 1)]
+            for batch in slices(_without_copies(batches), 0):
+                words, valid, _, _ = _windows(batch.column(0), length)
+                if valid.any():
+                    grams, least = _anchors(words, valid, length)
+                    yield grams[_selected(grams, least, length - min(GRAM, length) + 1)]
 
         for found, n in counted_batches(hashes()):
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["h", "n"])
@@ -79,6 +75,11 @@ def _count_anchors(length: int):
     return run
 
 
+def _without_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.filter(pa.array(_at_most_twice(batch.column(1).to_numpy(zero_copy_only=False))))
+
+
 def _at_most_twice(docs: np.ndarray) -> np.ndarray:
     """Marks the first two rows of each text of a batch: more copies of it tell nothing new about what occurs twice."""
     order = np.argsort(docs, kind="stable")
@@ -89,7 +90,7 @@ def _at_most_twice(docs: np.ndarray) -> np.ndarray:
 
 
 def _candidates(length: int, repeated: Broadcast, hot: Broadcast):
-    """The windows under repeated anchors, as rows (key, doc, at, windows) or (w, doc, ats).
+    """The windows under repeated anchors, as rows (key, doc, at, windows) or (key, doc, w, ats).
 
     ``key`` is the anchor of windows that stand next to each other from word ``at``
     on.  Under a hot anchor, a row has one window hash ``w`` and all its places in
@@ -99,37 +100,35 @@ def _candidates(length: int, repeated: Broadcast, hot: Broadcast):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags, hot_flags = np.frombuffer(repeated.value, np.uint8), np.frombuffer(hot.value, np.uint8)
-        for batch in batches:
-            batch = batch.filter(pa.array(_at_most_twice(batch.column(1).to_numpy(zero_copy_only=False))))
-            for lo in range(0, batch.num_rows, 1000):
-                docs = batch.column(1).slice(lo, 1000).to_numpy(zero_copy_only=False)
-                words, valid, row, first = _windows(batch.column(0).slice(lo, 1000), length)
-                if not valid.any():
-                    continue
-                _, least = _anchors(words, valid, length)
-                at = np.flatnonzero(valid)
-                at = at[in_bitmap(flags, least[at])]
-                hashes = window_hashes(words, length)
-                is_hot = in_bitmap(hot_flags, least[at])
-                spots = at[~is_hot]
-                if len(spots):
-                    begins = np.ones(len(spots), bool)
-                    begins[1:] = (np.diff(spots) != 1) | (least[spots][1:] != least[spots][:-1]) | (row[spots][1:] != row[spots][:-1])
-                    group = np.flatnonzero(begins)
-                    head, k = spots[group], len(group)
-                    windows = pa.ListArray.from_arrays(pa.array(np.append(group, len(spots)).astype(np.int32)), pa.array(hashes[spots].view(np.int64)))
-                    columns = [pa.array(least[head].view(np.int64)), pa.array(docs[row[head]]), pa.array((head - first[row[head]]).astype(np.int32)), windows]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.nulls(k, pa.int64()), pa.nulls(k, pa.list_(pa.int32()))], names)
-                spots = at[is_hot]
-                if len(spots):
-                    spots = spots[np.lexsort((spots, hashes[spots], row[spots]))]
-                    begins = np.ones(len(spots), bool)
-                    begins[1:] = (hashes[spots][1:] != hashes[spots][:-1]) | (row[spots][1:] != row[spots][:-1])
-                    group = np.flatnonzero(begins)
-                    head, k = spots[group], len(group)
-                    ats = pa.ListArray.from_arrays(pa.array(np.append(group, len(spots)).astype(np.int32)), pa.array((spots - first[row[spots]]).astype(np.int32)))
-                    none = [pa.nulls(k, pa.int32()), pa.nulls(k, pa.list_(pa.int64()))]
-                    yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.array(docs[row[head]]), *none, pa.array(hashes[head].view(np.int64)), ats], names)
+        for batch in slices(_without_copies(batches), 0):
+            docs = batch.column(1).to_numpy(zero_copy_only=False)
+            words, valid, row, first = _windows(batch.column(0), length)
+            if not valid.any():
+                continue
+            _, least = _anchors(words, valid, length)
+            at = np.flatnonzero(valid)
+            at = at[in_bitmap(flags, least[at])]
+            hashes = window_hashes(words, length)
+            is_hot = in_bitmap(hot_flags, least[at])
+            spots = at[~is_hot]
+            if len(spots):
+                begins = np.ones(len(spots), bool)
+                begins[1:] = (np.diff(spots) != 1) | (least[spots][1:] != least[spots][:-1]) | (row[spots][1:] != row[spots][:-1])
+                group = np.flatnonzero(begins)
+                head, k = spots[group], len(group)
+                windows = pa.ListArray.from_arrays(pa.array(np.append(group, len(spots)).astype(np.int32)), pa.array(hashes[spots].view(np.int64)))
+                columns = [pa.array(least[head].view(np.int64)), pa.array(docs[row[head]]), pa.array((head - first[row[head]]).astype(np.int32)), windows]
+                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(k, pa.int64()), pa.nulls(k, pa.list_(pa.int32()))], names)
+            spots = at[is_hot]
+            if len(spots):
+                spots = spots[np.lexsort((spots, hashes[spots], row[spots]))]
+                begins = np.ones(len(spots), bool)
+                begins[1:] = (hashes[spots][1:] != hashes[spots][:-1]) | (row[spots][1:] != row[spots][:-1])
+                group = np.flatnonzero(begins)
+                head, k = spots[group], len(group)
+                ats = pa.ListArray.from_arrays(pa.array(np.append(group, len(spots)).astype(np.int32)), pa.array((spots - first[row[spots]]).astype(np.int32)))
+                none = [pa.nulls(k, pa.int32()), pa.nulls(k, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([pa.array(least[head].view(np.int64)), pa.array(docs[row[head]]), *none, pa.array(hashes[head].view(np.int64)), ats], names)
 
     return run
 
@@ -141,9 +140,13 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = table.column("windows").combine_chunks()
         counts = np.diff(windows.offsets.to_numpy())
         flat = windows.flatten().to_numpy()
-        _, place, n = np.unique(flat, return_inverse=True, return_counts=True)
-        twice = np.flatnonzero(n[place] > 1)
         row = np.repeat(np.arange(len(counts)), counts)
+        keys = table.column("key").to_numpy()[row]
+        order = np.lexsort((flat, keys))
+        same = (flat[order][1:] == flat[order][:-1]) & (keys[order][1:] == keys[order][:-1])
+        again = np.zeros(len(flat), bool)
+        again[order[1:][same]] = again[order[:-1][same]] = True
+        twice = np.flatnonzero(again)
         at = table.column("at").to_numpy()[row] + np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts)
         rows, head = np.unique(row[twice], return_index=True)
         ats = pa.ListArray.from_arrays(pa.array(np.append(head, len(twice)).astype(np.int32)), pa.array(at[twice].astype(np.int32)))
@@ -166,137 +169,31 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield decide(pa.Table.from_batches(held))
 
 
-class SuffixAutomaton:
-    """The suffix automaton of word sequences, each ended by a sign of its own."""
-
-    def __init__(self) -> None:
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.len = [-1], [0]
-        self._last, self._ended = 0, 0
-
-    def add(self, words: list[int]) -> None:
-        for w in words:
-            self._extend(w)
-        self._ended -= 1
-        self._last = 0  # the next sequence starts at the root, so no match runs across two of them
-
-    def _extend(self, w: int) -> None:
-        nxt, link, length = self.next, self.link, self.len
-        p = self._last
-        q = nxt[p].get(w)
-        if q is not None:
-            if length[q] == length[p] + 1:
-                self._last = q
-                return
-            self._last = self._clone(p, q, w)
-            return
-        cur = len(nxt)
-        nxt.append({})
-        length.append(length[p] + 1)
-        link.append(0)
-        while p != -1 and w not in nxt[p]:
-            nxt[p][w] = cur
-            p = link[p]
-        if p != -1:
-            q = nxt[p][w]
-            link[cur] = q if length[q] == length[p] + 1 else self._clone(p, q, w)
-        self._last = cur
-
-    def _clone(self, p: int, q: int, w: int) -> int:
-        nxt, link, length = self.next, self.link, self.len
-        c = len(nxt)
-        nxt.append(dict(nxt[q]))
-        length.append(length[p] + 1)
-        link.append(link[q])
-        link[q] = c
-        while p != -1 and nxt[p].get(w) == q:
-            nxt[p][w] = c
-            p = link[p]
-        return c
-
-    def matching_statistics(self, words: list[int]) -> list[int]:
-        """At each word, the length of the longest suffix up to it that the sequences hold."""
-        nxt, link, length = self.next, self.link, self.len
-        state, matched, out = 0, 0, []
-        for w in words:
-            to = nxt[state].get(w)
-            while to is None and state:
-                state = link[state]
-                matched = length[state]
-                to = nxt[state].get(w)
-            if to is not None:
-                state, matched = to, matched + 1
-            out.append(matched)
-        return out
-
-
-def _covered(ends: np.ndarray, matched: np.ndarray, n: int, length: int) -> np.ndarray:
-    """Words of a row covered by a match of at least ``length`` words that ends at them or later."""
-    marks = np.zeros(n + 1, np.int64)
-    long = matched >= length
-    np.add.at(marks, ends[long] - matched[long] + 1, 1)
-    np.add.at(marks, ends[long] + 1, -1)
-    return np.cumsum(marks[:n]) > 0
-
-
 def _remove(length: int, text_at: int, starts_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = string_buffers(batch.column(text_at))[1]
-            lo = 0
-            while lo < batch.num_rows:
-                hi = max(lo + 1, int(np.searchsorted(sizes, sizes[lo] + SHARD_BYTES, "right")) - 1)
-                yield _remove_in_shard(batch.slice(lo, hi - lo), length, text_at, starts_at)
-                lo = hi
+        for batch in slices(batches, text_at):
+            data, offsets = string_buffers(batch.column(text_at))
+            _, _, first = word_bounds(data, offsets)
+            lists = pc.fill_null(batch.column(starts_at), pa.scalar([], pa.list_(pa.int32())))
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy())
+            begins = first[row] + lists.flatten().to_numpy()
+            marks = np.zeros(first[-1] + 1, np.int64)
+            np.add.at(marks, begins, 1)
+            np.add.at(marks, begins + length, -1)
+            kept_words = np.cumsum(marks)[:-1] == 0
+            kept, raw = [], data.tobytes()
+            for r in range(batch.num_rows):
+                own = raw[offsets[r] : offsets[r + 1]].split()
+                keep = kept_words[first[r] : first[r + 1]]
+                kept.append(b" ".join(own if keep.all() else list(compress(own, keep))).decode("utf-8"))
+            n_removed = np.diff(np.append(0, np.cumsum(~kept_words))[first])
+            names = [n for k, n in enumerate(batch.schema.names) if k != starts_at]
+            arrays = [c for k, c in enumerate(batch.columns) if k != starts_at]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(kept, pa.string()), pa.array(np.diff(first)), pa.array(n_removed)], [*names, "kept_text", "n_words", "n_removed"])
 
     return run
 
 
-def _remove_in_shard(batch: pa.RecordBatch, length: int, text_at: int, starts_at: int) -> pa.RecordBatch:
-    column = batch.column(text_at)
-    data, offsets = string_buffers(column)
-    start, end, first = word_bounds(data, offsets)
-    words = word_hashes(data, start, end)
-    windows = window_hashes(words, length).tolist() if len(words) >= length else []
-    starts = batch.column(starts_at).to_pylist()
-    reference, seen = SuffixAutomaton(), set()
-    for r, found in enumerate(starts):
-        run_from = run_to = -2
-        for s in sorted(found or ()):
-            if windows[first[r] + s] in seen:
-                continue
-            seen.add(windows[first[r] + s])
-            if s != run_to + 1:
-                if run_to >= 0:
-                    reference.add(words[first[r] + run_from : first[r] + run_to + length].tolist())
-                run_from = s
-            run_to = s
-        if run_to >= 0:
-            reference.add(words[first[r] + run_from : first[r] + run_to + length].tolist())
-    kept, removed, raw = [], [], data.tobytes()
-    for r, found in enumerate(starts):
-        own = raw[offsets[r] : offsets[r + 1]].split()
-        if found:
-            # Only stretches within reach of a repeated window can match; each is streamed through the automaton.
-            n = len(own)
-            near = np.zeros(n + 1, np.int64)
-            np.add.at(near, np.asarray(found), 1)
-            np.add.at(near, np.asarray(found) + length, -1)
-            at = np.flatnonzero(np.cumsum(near[:n]) > 0)
-            gone = np.zeros(n, bool)
-            for stretch in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
-                matched = np.array(reference.matching_statistics(words[first[r] + stretch].tolist()))
-                gone |= _covered(stretch, matched, n, length)
-            own = [own[i] for i in np.flatnonzero(~gone).tolist()]
-            removed.append(n - len(own))
-        else:
-            removed.append(0)
-        kept.append(b" ".join(own).decode("utf-8"))
-    names = [n for k, n in enumerate(batch.schema.names) if k != starts_at]
-    arrays = [c for k, c in enumerate(batch.columns) if k != starts_at]
-    return pa.RecordBatch.from_arrays([*arrays, pa.array(kept, pa.string()), pa.array(np.diff(first)), pa.array(removed, pa.int64())], [*names, "kept_text", "n_words", "n_removed"])
-
-
 def repeated_windows(docs: DataFrame, length: int = LENGTH, text_col: str = "text") -> DataFrame:
     """(doc, starts): per distinct text (its 64-bit hash) the first words of all windows that occur twice or more."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -307,10 +204,11 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, text_col: str = "tex
     hot = bitmap(anchors.where(F.col("n") > HOT_ANCHOR), "h", 20)
     rows = hashed.mapInArrow(_candidates(length, repeated, hot), "key long, doc long, at int, windows array<long>, w long, ats array<int>")
     rows = stored(rows, "windows")
-    usual = rows.where("key is not null").select("key", "doc", "at", "windows").repartition("key").sortWithinPartitions("key").mapInArrow(_compare, "doc long, ats array<int>")
-    single = rows.where("key is null").select("w", "doc", "ats")
-    common = single.groupBy("w").agg(F.sum(F.size("ats")).alias("n")).where("n >= 2").select("w")
-    found = usual.unionByName(single.join(common, "w").select("doc", "ats"))
+    discard(anchors)
+    usual = rows.where("w is null").select("key", "doc", "at", "windows").repartition("key").sortWithinPartitions("key").mapInArrow(_compare, "doc long, ats array<int>")
+    single = rows.where("w is not null").select("key", "w", "doc", "ats")
+    common = single.groupBy("key", "w").agg(F.sum(F.size("ats")).alias("n")).where("n >= 2").select("key", "w")
+    found = usual.unionByName(single.join(common, ["key", "w"]).select("doc", "ats"))
     return found.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("ats"))).alias("starts"))
 
 
@@ -322,12 +220,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text"
     all windows are judged on the input.  What is left is joined by single spaces.
     Null texts have no words, rows shorter than a window lose nothing, repeated rows
     lose every window, and extra columns pass unchanged; columns with the name of a
-    result are replaced.
+    result are replaced.  Texts are taken in slices of at most 2 MB, a longer one by
+    itself; texts of one 64-bit hash count as one.
     """
-    docs = docs.drop("kept_text", "n_words", "n_removed", "_doc", "_starts")
+    docs = docs.drop("kept_text", "n_words", "n_removed")
     doc = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    found = repeated_windows(docs, length, text_col).select(F.col("doc").alias("_doc"), F.col("starts").alias("_starts"))
-    joined = docs.join(found, doc == F.col("_doc"), "left").drop("_doc")
+    ours = {c: f"__repeats_{c}" for c in ("doc", "starts")}
+    found = repeated_windows(docs, length, text_col).select(*[F.col(c).alias(name) for c, name in ours.items()])
+    joined = docs.join(found, doc == F.col(ours["doc"]), "left").drop(ours["doc"])
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
     at = docs.columns.index(text_col)
     return joined.mapInArrow(_remove(length, at, len(docs.columns)), ", ".join([*fields, "kept_text string", "n_words long", "n_removed long"]))
