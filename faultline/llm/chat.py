@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.llm.shared import stored
+from faultline.llm.shared import discard, stored
 
 START, END = "<|im_start|>", "<|im_end|>"
 LEARNED_ROLE = "assistant"
@@ -105,37 +105,70 @@ def as_reply_tree(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", r
     return numbered.select("conv_id", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text")
 
 
+def _same(a: str, b: str) -> Column:
+    return F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col(a) == F.col(b))
+
+
+def _without_circles(jump: DataFrame, longest: int) -> DataFrame:
+    """The reply links (conv_id, node, to) without the one of each circle's smallest node, which becomes a root.
+
+    Pointers double their reach, and carry the smallest node passed, until they have gone
+    further than any path; whatever they point at then is on a circle.
+    """
+    walk, reach = jump.withColumn("low", F.col("to")), 1
+    while reach < longest:
+        step = walk.select(F.col("conv_id").alias("_c"), F.col("node").alias("_n"), F.col("to").alias("_to"), F.col("low").alias("_low"))
+        last, walk = walk, stored(walk.join(step, _same("to", "_n")).select("conv_id", "node", F.col("_to").alias("to"), F.least("low", "_low").alias("low")), "walks")
+        if reach > 1:
+            discard(last)
+        reach *= 2
+    broken = walk.where("node = low").join(walk.select(F.col("conv_id").alias("_c"), F.col("to").alias("_t")).distinct(), _same("node", "_t"), "left_semi")
+    return stored(jump.join(broken.select(F.col("conv_id").alias("_c"), F.col("node").alias("_n")), _same("node", "_n"), "left_anti"), "parents")
+
+
 def leaf_paths(messages: DataFrame) -> DataFrame:
     """(conv_id, leaf, node, up): every message on the path from each leaf to its root, ``up`` replies above the leaf.
 
-    Conversations are matched null-safely.  A parent that does not exist makes its
-    child a root; messages that reply in a circle have no leaf and no path.
+    Conversations are matched null-safely, and of the parents that rows of one node name
+    the smallest counts.  A parent that does not exist makes its child a root.  Where
+    messages reply in a circle, the smallest of them becomes the root of the others.
     """
-    links = messages.select("conv_id", "node", "parent").distinct()
-    known = links.select(F.col("conv_id").alias("_c"), F.col("node").alias("_n")).distinct()
-    jump = links.join(known, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("parent") == F.col("_n")), "inner").select("conv_id", "node", F.col("parent").alias("to"))
+    links = messages.groupBy("conv_id", "node").agg(F.min("parent").alias("parent"))
+    known = links.select(F.col("conv_id").alias("_c"), F.col("node").alias("_n"))
+    jump = links.join(known, _same("parent", "_n")).select("conv_id", "node", F.col("parent").alias("to"))
     jump = stored(jump, "parents")
+    longest = links.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    paths = _paths(links, jump, longest)
+    return paths if paths is not None else _paths(links, _without_circles(jump, longest), longest)
+
+
+def _paths(links: DataFrame, jump: DataFrame, longest: int) -> DataFrame | None:
+    """The leaf paths, or nothing if some pointer goes on for longer than a path can."""
     parents = jump.select(F.col("conv_id").alias("_c"), F.col("to").alias("_n")).distinct()
-    leaves = links.select("conv_id", "node").distinct().join(parents, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("node") == F.col("_n")), "left_anti")
+    leaves = links.select("conv_id", "node").join(parents, _same("node", "_n"), "left_anti")
     paths = stored(leaves.select("conv_id", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")), "paths")
-    reach = 1
+    reach, first = 1, jump
     while True:
         step = jump.select(F.col("conv_id").alias("_c"), F.col("node").alias("_n"), F.col("to").alias("_to"))
-        further = paths.join(step, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("node") == F.col("_n")))
+        if reach >= max(longest, 2):  # only circles are left
+            return None if not jump.isEmpty() else paths
+        further = paths.join(step, _same("node", "_n"))
         further = stored(further.select("conv_id", "leaf", F.col("_to").alias("node"), (F.col("up") + reach).alias("up")), "further")
-        if further.isEmpty():
+        doubled = stored(jump.join(step, _same("to", "_n")).select("conv_id", "node", F.col("_to").alias("to")), "jumps")
+        if jump is not first:
+            discard(jump)
+        if further.isEmpty() and doubled.isEmpty():
             return paths
-        paths = stored(paths.unionByName(further), "paths")
-        next_step = jump.select(F.col("conv_id").alias("_c"), F.col("node").alias("_n"), F.col("to").alias("_to"))
-        jump = stored(jump.join(next_step, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("to") == F.col("_n"))).select("conv_id", "node", F.col("_to").alias("to")), "jumps")
-        reach *= 2
+        last, paths = paths, stored(paths.unionByName(further), "paths")
+        discard(last, further)
+        jump, reach = doubled, reach * 2
 
 
 def format_conversations(messages: DataFrame, branches: int = 1, score: Column | None = None) -> DataFrame:
     """(conv_id, leaf, rank, score, n_turns, formatted, loss_spans) of the best paths of each conversation.
 
-    ``messages`` has (conv_id, node, parent, role, text); nodes are unique in a
-    conversation.  A path's score is the mean of ``score`` over its messages (default:
+    ``messages`` has (conv_id, node, parent, role, text); of rows with one node in a
+    conversation the first by (role, text) counts.  A path's score is the mean of ``score`` over its messages (default:
     learned messages count one for a text, none for an empty one); the ``branches``
     best leaves are kept, ties going to the smaller leaf.  Null roles and texts are
     empty, extra columns are not carried, and an empty table gives no rows.  A
@@ -143,7 +176,8 @@ def format_conversations(messages: DataFrame, branches: int = 1, score: Column |
     size of the table, is what a task must hold.
     """
     value = score if score is not None else F.when((F.col("role") == LEARNED_ROLE) & (F.length("text") > 0), 1.0).otherwise(0.0)
-    held = messages.select("conv_id", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).withColumn("_value", value)
+    texts = messages.groupBy("conv_id", "node").agg(F.min(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))).alias("_m"))
+    held = texts.select("conv_id", "node", "_m.role", "_m.text").withColumn("_value", value)
     paths = leaf_paths(messages)
     named = held.select(F.col("conv_id").alias("_c"), F.col("node").alias("_n"), "role", "text", "_value")
     full = paths.join(named, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("node") == F.col("_n")))
