@@ -210,6 +210,24 @@ def test_trees_become_ranked_paths(spark):
     assert both[None, 1]["formatted"] == "<|im_start|>\n<|im_end|>\n"
 
 
+def test_circles_are_broken_at_their_smallest_message(spark):
+    rows = [(1, 5, 7, "user", "a"), (1, 6, 5, "assistant", "b"), (1, 7, 6, "user", "c"), (1, 9, 7, "assistant", "leaf"), (2, 1, 1, "user", "self"), (3, 1, None, "user", "x"), (3, 2, 1, "assistant", "y"), (3, 2, 1, "assistant", "z"), (4, 1, 2, "user", "p"), (4, 2, 1, "user", "q")]
+    messages = spark.createDataFrame(rows, "conv_id long, node long, parent long, role string, text string")
+    found = {}
+    for r in chat.leaf_paths(messages).collect():
+        found.setdefault((r["conv_id"], r["leaf"]), []).append((r["up"], r["node"]))
+    # 5 is the root of 6, 7 and 9; 1 that replies to itself is a root; 1 is the root of 2 in conversation 4.
+    assert {k: [n for _, n in sorted(v)] for k, v in found.items()} == {(1, 9): [9, 7, 6, 5], (2, 1): [1], (3, 2): [2, 1], (4, 2): [2, 1]}
+    out = {r["conv_id"]: r["formatted"] for r in chat.format_conversations(messages).collect()}
+    assert chat.parse_turns(out[3]) == [("user", "x"), ("assistant", "y")]
+
+
+def test_long_chains_end(spark):
+    rows = [(1, k, k - 1 if k else None, "user", str(k)) for k in range(150)]
+    paths = chat.leaf_paths(spark.createDataFrame(rows, "conv_id long, node long, parent long, role string, text string"))
+    assert sorted((r["up"], r["node"]) for r in paths.collect()) == [(k, 149 - k) for k in range(150)]
+
+
 def test_linear_conversations_read_back(spark):
     turns = spark.createDataFrame([(1, 2, "assistant", "b"), (1, 1, "user", None), (1, 2, "assistant", "c"), (3, None, "user", "x")], "conv_id long, turn long, role string, text string")
     out = {r["conv_id"]: r for r in chat.read_back(chat.format_conversations(chat.as_reply_tree(turns))).collect()}

@@ -1,11 +1,9 @@
-import random
-
 import numpy as np
 
 from faultline.llm import jaccard, substrings
 from faultline.llm.components import connected_components
 from faultline.llm.jaccard import JaccardJoin
-from faultline.llm.substrings import SuffixAutomaton, remove_repeats
+from faultline.llm.substrings import remove_repeats
 
 from .fixtures import documents, empty, link_components, removed_words, shingles, words
 
@@ -29,7 +27,7 @@ def test_repeats_under_hot_anchors(spark, monkeypatch):
 
 def test_repeats_of_an_empty_table_and_extra_columns(spark):
     assert remove_repeats(empty(spark)).count() == 0
-    docs = documents(spark).withColumnRenamed("source", "at").withColumnRenamed("lang", "doc")
+    docs = documents(spark).withColumnRenamed("source", "_starts").withColumnRenamed("lang", "_doc")
     out = remove_repeats(docs)
     assert out.columns == [*docs.columns, "kept_text", "n_words", "n_removed"]
     assert out.count() == docs.count()
@@ -37,19 +35,6 @@ def test_repeats_of_an_empty_table_and_extra_columns(spark):
     assert remove_repeats(clash).columns == ["doc_id", "text", "n_chars", "kept_text", "n_words", "n_removed"]
 
 
-def test_automaton_matches_the_longest_suffix():
-    rng = random.Random(5)
-    for _ in range(60):
-        parts = [[rng.randrange(4) for _ in range(rng.randint(1, 14))] for _ in range(rng.randint(1, 4))]
-        query = [rng.randrange(5) for _ in range(20)]
-        automaton = SuffixAutomaton()
-        for p in parts:
-            automaton.add(p)
-        held = {tuple(p[i:j]) for p in parts for i in range(len(p)) for j in range(i + 1, len(p) + 1)}
-        want = [max([n for n in range(1, k + 2) if tuple(query[k + 1 - n : k + 1]) in held], default=0) for k in range(len(query))]
-        assert automaton.matching_statistics(query) == want
-
-
 def membership(spark, docs):
     rows = docs.collect()
     least, sizes = link_components([r["doc_id"] for r in rows], [r["text"] for r in rows])
