@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.llm.ordering import range_buckets
+from faultline.llm.shared import stored
 
 WORD_BREAK = "[\\x20\\x09-\\x0D]+"
 SHINGLE = 5
@@ -101,22 +102,24 @@ def fingerprint_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: st
     the first as many (or all) of the next row's text.  Rows stand in descending
     (id, text hash), null ids last, and the last row is followed by the first; a
     lone row follows itself, and repeated rows each have a place.  Null texts are
-    empty.  Other columns are not carried.
+    empty.  Other columns are not carried.  A text is worked on in one row, so the longest
+    text bounds a task's memory.
 
     Texts move once: into range buckets of the id, where the next row is the next
     in order; the head of each bucket is also given to the bucket before it.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    bucket, _ = range_buckets(base, "doc_id", size=F.octet_length("text"))
+    bucket = range_buckets(base, "doc_id", F.xxhash64("text"), size=F.octet_length("text"))
     base = base.withColumns({"_b": bucket, "_th": F.xxhash64("text")})
     heads = base.groupBy("_b").agg(F.max(F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), F.col("_th").alias("th"))).alias("_head"))
     around = Window.orderBy("_b")
-    ring = heads.select(  # one row per bucket
+    ring = heads.select(
         F.col("_b").alias("_of"), "_head", F.coalesce(F.lead("_b").over(around), F.min("_b").over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_to")
     )
+    ring = stored(ring, "ring")  # one row per bucket; Spark broadcasts it if that is small
     at_head = (F.col("_b") == F.col("_of")) & (F.coalesce("doc_id", F.lit(-(2**63))) == F.col("_head.id")) & (F.col("_th") == F.col("_head.th"))
-    guests = base.join(F.broadcast(ring), at_head).select("doc_id", "text", F.col("_to").alias("_b"), "_th").withColumn("_guest", F.lit(True))
+    guests = base.join(ring, at_head).select("doc_id", "text", F.col("_to").alias("_b"), "_th").withColumn("_guest", F.lit(True))
     rows = add_fingerprint(base.withColumn("_guest", F.lit(False)).unionByName(guests), "text", "packed")
     order = Window.partitionBy("_b").orderBy("_guest", F.col("doc_id").desc_nulls_last(), F.col("_th").desc())
     paired = rows.withColumns({"_next": F.lead("text").over(order), "_next_packed": F.lead("packed").over(order)}).where("not _guest").drop("_b", "_th", "_guest")

@@ -13,7 +13,7 @@ ROW_OVERHEAD = 16
 def shard_by_bytes(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Deals all rows into ``n_shards`` contiguous shards whose byte sizes are nearly equal.
 
-    Rows are ordered by (id, size, checksum); a row of ``size`` bytes that starts at
+    Rows are ordered by id and a hash of (size, checksum); a row of ``size`` bytes that starts at
     byte ``start`` of ``total`` goes to the shard that holds its midpoint, so a
     shard's bytes differ from the target by less than its two border rows.
 
@@ -28,11 +28,11 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id",
         (F.octet_length(text) + ROW_OVERHEAD).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
     )
-    bucket, _ = range_buckets(docs.select(F.col(id_col).cast("long").alias("doc_id")), "doc_id", rows_per_bucket=20_000)
+    bucket = range_buckets(docs.select(F.col(id_col).cast("long").alias("doc_id")), "doc_id", F.xxhash64("size", "text_crc32"), rows_per_bucket=20_000)
     placed = with_prefix_sums(
         thin.withColumn("_k", bucket),
         "_k",
-        [F.col("doc_id").asc_nulls_first(), F.col("size"), F.col("text_crc32")],
+        [F.col("doc_id").asc_nulls_first(), F.xxhash64("size", "text_crc32"), F.col("size"), F.col("text_crc32")],
         {"start_byte": F.col("size"), "_rank": F.lit(1)},
     ).drop("_k")
     total = thin.agg(F.sum("size").alias("_total"))
