@@ -26,6 +26,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faultline.llm.words import slices
+
 #: Elements without text of the page.
 SKIPPED = {"script", "style", "noscript", "template", "textarea", "select", "svg", "math", "iframe", "object", "canvas", "audio", "video", "title", "datalist", "map"}
 #: Of these, everything up to the end tag (or the end of the page) is raw.
@@ -45,7 +47,7 @@ BOILERPLATE_NAME = re.compile(
 CONTENT_NAME = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|main|maincontent|content|body|text|prose)(?:$|[\s_-])", re.I)
 #: First parts of names that say what a page or container has or lacks, not what it is.
 MODIFIER_NAME = re.compile(r"(?:^|(?<=\s))(?:has|have|with|without|no|not|non|is|show|hide|enable|disable)[_-]\S*", re.I)
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^<>]*+)>|<[!?][^>]*>", re.S)
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _SPACE = re.compile(r"\s+")
@@ -302,18 +304,17 @@ def main_text(page: str, weights: np.ndarray) -> str:
 
 
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for page in batch.column(0).to_pylist():
+    for part in slices(batches, 1):
+        for h, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
             known = [b for b in blocks_of(page or "") if b.evidence]
             if known:
-                yield pa.RecordBatch.from_arrays([pa.array(list(shapes(known)), pa.list_(pa.float64())), pa.array([int(b.evidence > 0) for b in known])], ["shape", "label"])
+                yield pa.RecordBatch.from_arrays([pa.array([h]), pa.array([shapes(known).ravel()], pa.list_(pa.float64())), pa.array([[int(b.evidence > 0) for b in known]], pa.list_(pa.int64()))], ["h", "shapes", "labels"])
 
 
 def _extract(weights: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
+            for part in slices([batch], batch.num_columns - 1):
                 texts = [main_text(p, weights.value) if p else "" for p in part.column(part.num_columns - 1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*part.schema.names[:-1], "text", "n_chars"])
 
@@ -321,21 +322,24 @@ def _extract(weights: Broadcast):
 
 
 def train_on(pages: DataFrame, html_col: str = "html") -> np.ndarray:
-    """Classifier weights from about ``TRAINING_PAGES`` pages, drawn by a hash of the page."""
-    n = pages.count()
-    chosen = pages.where(F.pmod(F.xxhash64(html_col, F.lit(5)), F.lit(1 << 20)) < min(1 << 20, (TRAINING_PAGES << 20) // max(n, 1) + 1))
-    rows = chosen.select(html_col).mapInArrow(_sample, "shape array<double>, label long").toArrow()
-    data = sorted(zip(rows.column("label").to_pylist(), rows.column("shape").to_pylist(), strict=True))
-    return train_shapes(np.array([x for _, x in data]).reshape(-1, _SHAPES), np.array([y for y, _ in data], np.float64))
+    """Classifier weights from the first ``TRAINING_PAGES`` distinct pages in hash order, however often one is repeated."""
+    hashed = pages.select(F.xxhash64(html_col, F.lit(5)).alias("h"), F.col(html_col).alias("html"))
+    chosen = [r["h"] for r in hashed.select("h").distinct().orderBy("h").limit(TRAINING_PAGES).collect()]
+    rows = hashed.where(F.col("h").isin(chosen)).mapInArrow(_sample, "h long, shapes array<double>, labels array<long>").dropDuplicates(["h"]).orderBy("h").collect()
+    flat = np.array([x for r in rows for x in r["shapes"]]).reshape(-1, _SHAPES)
+    return train_shapes(flat, np.array([y for r in rows for y in r["labels"]], np.float64))
 
 
 def extract_main_text(pages: DataFrame, keep: list[str], html_col: str = "html") -> DataFrame:
     """The columns ``keep`` of ``pages`` with ``text`` and ``n_chars``.
 
     Blocks labelled content are joined in page order by an empty line.  Null and empty
-    pages have an empty text; text outside all tags is one block; rows may repeat; a
-    clashing ``text`` or ``n_chars`` column must not be kept.
+    pages have an empty text; text outside all tags is one block; rows may repeat; kept
+    columns called ``text`` or ``n_chars`` are left out.  A page is labelled as a whole,
+    so the largest page bounds a worker's memory.  Of cuts that cost the same the one
+    with most content is taken.
     """
+    keep = [c for c in keep if c not in ("text", "n_chars")]
     weights = pages.sparkSession.sparkContext.broadcast(train_on(pages, html_col))
     fields = [f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep]
     return pages.select(*keep, html_col).mapInArrow(_extract(weights), ", ".join([*fields, "text string, n_chars long"]))

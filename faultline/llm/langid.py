@@ -18,10 +18,10 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.llm.words import span_hashes, window_hashes
+from faultline.llm.words import slices, span_hashes, window_hashes
 
 ORDER = 5
 START, END = 1, 2
@@ -224,12 +224,9 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _score(models: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                entropies, size = models.value.entropies([t or "" for t in part.column(part.num_columns - 1).to_pylist()])
-                rest = part.columns[:-1]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(list(entropies), pa.list_(pa.float64())), pa.array(size)], [*part.schema.names[:-1], "entropies", "symbols"])
+        for part in slices(batches, 1):
+            entropies, size = models.value.entropies([t or "" for t in part.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(entropies), pa.list_(pa.float64())), pa.array(size)], ["lang", "entropies", "symbols"])
 
     return run
 
@@ -239,8 +236,7 @@ def _predict(models: Broadcast):
         m: CharModels = models.value
         names = pa.array([*m.languages, UNKNOWN])
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
+            for part in slices([batch], batch.num_columns - 1):
                 entropies, size = m.entropies([t or "" for t in part.column(part.num_columns - 1).to_pylist()])
                 n = part.num_rows
                 if m.languages:
@@ -253,37 +249,43 @@ def _predict(models: Broadcast):
                     best, lowest, score, rejected = np.zeros(n, np.int64), np.zeros(n), np.zeros(n), np.ones(n, bool)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:-1], names.take(pa.array(best)), pa.array(score), pa.array(np.where(size > 0, lowest, np.nan), mask=size == 0), pa.array(rejected)],
-                    [*part.schema.names[:-1], "lang_pred", "score", "cross_entropy", "rejected"],
+                    [*part.schema.names[:-1], *RESULTS],
                 )
 
     return run
 
 
+RESULTS = ["lang_pred", "score", "cross_entropy", "rejected"]
+
+
 def train_models(labelled: DataFrame, fold: Column, lang_col: str = "lang", text_col: str = "text") -> CharModels:
     """Models from rows with a language; rows where ``fold`` is true calibrate, the others train.
 
-    Rows are sampled by a hash of their text to about ``TRAINING_ROWS`` and
-    ``CALIBRATION_ROWS`` per language; whole texts are used, and word counts are summed
-    on the executors.  What reaches the driver is bounded by the sample.
+    Of each language the first ``TRAINING_ROWS`` and ``CALIBRATION_ROWS`` distinct texts
+    in hash order are taken, whole; word counts are summed on the executors.  What
+    reaches the driver is bounded by the sample, however often a text is repeated.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.coalesce(fold, F.lit(False)).alias("held"))
-    sizes = rows.groupBy("lang", "held").count().collect()  # two numbers per language
-    drawn = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 20))
-
-    def sample(held: bool, bound: int) -> DataFrame:
-        limit = F.lit(0)
-        for r in sizes:
+    rows = rows.withColumn("h", F.xxhash64("text", F.lit(7)))
+    first = Window.partitionBy("lang", "held").orderBy("h")
+    bound = F.when(F.col("held"), CALIBRATION_ROWS).otherwise(TRAINING_ROWS)
+    ranked = rows.select("lang", "held", "h").distinct().withColumn("r", F.row_number().over(first)).where(F.col("r") <= max(TRAINING_ROWS, CALIBRATION_ROWS)).where(F.col("r") <= bound)
+    limits = ranked.groupBy("lang", "held").agg(F.max("h").alias("h")).collect()  # two numbers a language
+
+    def sample(held: bool) -> DataFrame:
+        chosen = F.lit(False)
+        for r in limits:
             if r["held"] == held:
-                limit = F.when(F.col("lang") == r["lang"], min(1 << 20, (bound << 20) // r["count"] + 1)).otherwise(limit)
-        return rows.where((F.col("held") == held) & (drawn < limit)).select("lang", "text")
+                chosen = chosen | ((F.col("lang") == r["lang"]) & (F.col("h") <= r["h"]))
+        return rows.where((F.col("held") == held) & chosen).dropDuplicates(["lang", "h"]).select("lang", "text")
 
     counts: dict[str, dict[str, int]] = {}
-    summed = sample(False, TRAINING_ROWS).mapInArrow(_word_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    summed = sample(False).mapInArrow(_word_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     for r in summed.toArrow().to_pylist():
         counts.setdefault(r["lang"], {})[r["word"]] = r["n"]
     models = train(counts)
     context = labelled.sparkSession.sparkContext
-    scored = sample(True, CALIBRATION_ROWS).mapInArrow(_score(context.broadcast(models)), "lang string, entropies array<double>, symbols long").where("symbols > 0").toArrow().to_pylist()
+    scored = sample(True).mapInArrow(_score(context.broadcast(models)), "lang string, entropies array<double>, symbols long").where("symbols > 0").toArrow().to_pylist()
     place = {x: k for k, x in enumerate(models.languages)}
     known = [r for r in scored if r["lang"] in place]
     calibrate(models, np.array([r["entropies"] for r in known]).reshape(len(known), len(models.languages)), np.array([place[r["lang"]] for r in known], np.int64))
@@ -295,8 +297,11 @@ def identify(docs: DataFrame, models: CharModels, keep: list[str], text_col: str
 
     Texts that are null or have no letter are ``und`` with score 0 and rejected; ties
     go to the first language by name; rows may repeat.  ``score`` is the posterior of
-    the language found; ``rejected`` texts are like none of the languages.
+    the language found; ``rejected`` texts are like none of the languages.  Kept columns
+    with the name of a result are left out.  Texts are taken in slices of at most 0.5 MB,
+    a longer one by itself.
     """
+    keep = [c for c in keep if c not in RESULTS]
     shared = docs.sparkSession.sparkContext.broadcast(models)
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
     schema = ", ".join([*fields, "lang_pred string, score double, cross_entropy double, rejected boolean"])
