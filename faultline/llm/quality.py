@@ -9,6 +9,8 @@ that is Bonferroni-corrected for the strata.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,55 +36,67 @@ RULES = {
 def quality_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds the word, symbol, line and repetition counts of each row's whole text (null: empty)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    words = docs.withColumn("_w", F.array_remove(F.split(text, WORD_BREAK), ""))
+    words = docs.withColumn("__rules_w", F.array_remove(F.split(text, WORD_BREAK), ""))
     hashed = words.withColumns(
         {
-            "n_words": F.size("_w").cast("long"),
-            "_h": F.transform("_w", lambda w: F.xxhash64(w)),
-            "word_chars": F.char_length(F.array_join("_w", "")).cast("long"),
+            "n_words": F.size("__rules_w").cast("long"),
+            "__rules_h": F.transform("__rules_w", lambda w: F.xxhash64(w)),
+            "word_chars": F.char_length(F.array_join("__rules_w", "")).cast("long"),
             "n_symbols": F.char_length(F.regexp_replace(text, NOT_SYMBOLS, "")).cast("long"),
-            "_lines": F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")),
+            "__rules_lines": F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")),
         }
-    ).drop("_w")
-    h = F.col("_h")
+    ).drop("__rules_w")
+    h = F.col("__rules_h")
     five = F.when(
         F.size(h) >= 5,
         F.transform(F.sequence(F.lit(0), F.size(h) - 5), lambda i: F.xxhash64(h[i], h[i + 1], h[i + 2], h[i + 3], h[i + 4])),
     ).otherwise(F.array().cast("array<bigint>"))
     windows = hashed.withColumns(
         {
-            "_five": five,
-            "n_lines": F.size("_lines").cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+            "__rules_five": five,
+            "n_lines": F.size("__rules_lines").cast("long"),
+            "n_dup_lines": (F.size("__rules_lines") - F.size(F.array_distinct("__rules_lines"))).cast("long"),
         }
-    ).drop("_h", "_lines")
+    ).drop("__rules_h", "__rules_lines")
     # Positions of windows that occur twice, found next to each other after sorting (hash, position); most rows have none.
-    g = F.col("_five")
+    g = F.col("__rules_five")
     ordered = F.when(F.size(F.array_distinct(g)) < F.size(g), F.array_sort(F.transform(g, lambda x, i: F.struct(x.alias("x"), i.alias("i")))))
-    sorted_rows = windows.withColumn("_s", ordered).drop("_five")
-    s = F.col("_s")
+    sorted_rows = windows.withColumn("__rules_s", ordered).drop("__rules_five")
+    s = F.col("__rules_s")
     twice = F.filter(s, lambda e, k: (e["x"] == F.get(s, k + 1)["x"]) | ((k > 0) & (e["x"] == F.get(s, k - 1)["x"])))
-    at = sorted_rows.withColumn("_at", F.when(s.isNotNull(), F.sort_array(F.transform(F.filter(twice, lambda e: e.isNotNull()), lambda e: e["i"])))).drop("_s")
-    p = F.col("_at")
+    at = sorted_rows.withColumn("__rules_at", F.when(s.isNotNull(), F.sort_array(F.transform(F.filter(twice, lambda e: e.isNotNull()), lambda e: e["i"])))).drop("__rules_s")
+    p = F.col("__rules_at")
     covered = F.aggregate(p, F.struct(F.lit(0).cast("long").alias("n"), F.lit(-5).alias("last")), lambda a, i: F.struct((a["n"] + F.least(F.lit(5), i - a["last"])).alias("n"), i.alias("last")), lambda a: a["n"])
-    return at.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("_at")
+    return at.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("__rules_at")
 
 
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEAT_PERCENT * n_words)
 
 
+def _log_factorial(x: Column) -> Column:
+    """ln(x!), by Stirling's series eight places further up, where it is exact to ten digits."""
+    z = x.cast("double") + 9
+    series = (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z)
+    passed = F.lit(1.0)
+    for k in range(1, 9):
+        passed = passed * (x + k)
+    return series - F.log(passed)
+
+
 def binomial_tail(k: Column, n: Column, rate: float) -> Column:
     """P(X <= k) for X ~ Binomial(n, rate), exactly, by the term ratio from the largest term down.
 
     Terms are summed relative to the term at k: for k below the mean they fall off
-    towards zero, so the sum stays in range however large n is.
+    towards zero, so the sum stays in range however large n is, and those more than
+    forty roots of k away are below any double.
     """
     odds = rate / (1 - rate)
-    log_choose = F.aggregate(F.when(k >= 1, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>")), F.lit(0.0), lambda a, j: a + F.log((n - j + 1) / j))
+    log_choose = _log_factorial(n) - _log_factorial(k) - _log_factorial(n - k)
     log_top = log_choose + k * F.log(F.lit(rate)) + (n - k) * F.log(F.lit(1 - rate))
+    last = F.greatest(F.lit(1).cast("long"), k - 50 - F.ceil(40 * F.sqrt(k)))
     ratios = F.aggregate(
-        F.when(k >= 1, F.reverse(F.sequence(F.lit(1).cast("long"), k))).otherwise(F.array().cast("array<bigint>")),
+        F.when(k >= 1, F.reverse(F.sequence(last, k))).otherwise(F.array().cast("array<bigint>")),
         F.struct(F.lit(1.0).alias("sum"), F.lit(1.0).alias("term")),
         lambda a, j: F.struct((a["sum"] + a["term"] * j / ((n - j + 1) * odds)).alias("sum"), (a["term"] * j / ((n - j + 1) * odds)).alias("term")),
         lambda a: a["sum"],
@@ -138,20 +152,24 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang",
     """All columns of ``docs`` (the text only with ``keep_text``) with the counts, scores, ``base_failed``, ``failed_rules`` and ``kept``.
 
     ``labels`` has (id, clean flag 0/1).  Null texts have no words and fail the base
-    rule; null strata form one stratum; a document labelled more than once counts
-    once per label; rows may repeat, and each is judged by itself.  Extra columns of
-    ``labels`` are not read.  With no labels nothing beyond the base rule rejects.
+    rule; null strata form one stratum; an id counts once in the holdout, however often
+    it is labelled or has rows, and is clean if all its labels say so.  Rows may repeat,
+    and each is judged by itself.  Extra columns of ``labels`` are not read; columns of
+    ``docs`` with the name of a result are replaced.  With no labels nothing beyond the
+    base rule rejects.  A text is worked on in one row, so the longest text bounds a
+    task's memory.
     """
     stats = quality_stats(docs, text_col)
     stats = stats if keep_text else stats.drop(text_col)
     stats = stats.withColumns({r: f(F.col).cast("double") for r, f in RULES.items()})
-    stats = stats.withColumns({"_stratum": F.coalesce(F.col(stratum).cast("string"), F.lit("")), "base_failed": base_failed(F.col("n_words"), F.col("n_repeat_words"))})
+    stats = stats.withColumns({"__rules_stratum": F.coalesce(F.col(stratum).cast("string"), F.lit("")), "base_failed": base_failed(F.col("n_words"), F.col("n_repeat_words"))})
     stats = stored(stats, "quality_stats")
-    flags = labels.select(F.col(id_col).alias("_label_id"), (F.col(clean_col) == 1).alias("clean"))
-    holdout = stats.where("not base_failed").join(flags, F.col(id_col) == F.col("_label_id"))
-    cutoffs = risk_controlled_cutoffs(holdout, "_stratum", list(RULES), **control)
-    per_stratum = cutoffs.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_cuts")).withColumnRenamed("stratum", "_of")  # at most one entry per rule
-    judged = stats.join(F.broadcast(per_stratum), F.col("_stratum") == F.col("_of"), "left").drop("_of", "_stratum")
-    broken = F.array_compact(F.array(*[F.when(F.col(r) > F.element_at("_cuts", r), F.lit(r)) for r in RULES]))
-    judged = judged.withColumn("failed_rules", F.when(F.col("_cuts").isNull(), F.array().cast("array<string>")).otherwise(broken)).drop("_cuts")
+    flags = labels.where(F.col(clean_col).isNotNull()).groupBy(F.col(id_col).alias("__rules_label_id")).agg(F.min(F.col(clean_col) == 1).alias("clean"))
+    scored = stats.where("not base_failed").select(F.col(id_col).alias("__rules_label_id"), F.struct("__rules_stratum", *RULES).alias("__rules_scores"))
+    holdout = scored.join(flags, "__rules_label_id").groupBy("__rules_label_id", "clean").agg(F.max("__rules_scores").alias("__rules_scores")).select("clean", "__rules_scores.*")
+    cutoffs = risk_controlled_cutoffs(holdout, "__rules_stratum", list(RULES), **control)
+    per_stratum = cutoffs.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("__rules_cuts")).withColumnRenamed("stratum", "__rules_of")  # at most one entry per rule
+    judged = stats.join(F.broadcast(per_stratum), F.col("__rules_stratum") == F.col("__rules_of"), "left").drop("__rules_of", "__rules_stratum")
+    broken = F.array_compact(F.array(*[F.when(F.col(r) > F.element_at("__rules_cuts", r), F.lit(r)) for r in RULES]))
+    judged = judged.withColumn("failed_rules", F.when(F.col("__rules_cuts").isNull(), F.array().cast("array<string>")).otherwise(broken)).drop("__rules_cuts")
     return judged.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
