@@ -263,7 +263,7 @@ class JaccardJoin:
     wordless texts have an empty set and link with nothing.  Two rows link when
     100 * overlap >= threshold * union, exactly up to collisions of 56-bit hashes of
     n-grams and 62-bit hashes of sets.  Repeated rows link like any equal texts; extra
-    columns are not read.  Texts are taken in slices of at most 2 MB; a longer text is a
+    columns are not read.  Texts are taken in slices of at most 0.5 MB; a longer text is a
     slice by itself, so that the longest text bounds a worker's memory.
 
     ``links`` returns the pairs of distinct sets that link, ``n_links`` and ``membership``

@@ -26,7 +26,7 @@ from faultline.llm.words import mix, slices, span_hashes
 WINDOW = 2048
 END_ID = 1
 #: Distinct pre-tokens a worker keeps; beyond it, it starts anew.
-CACHED_PIECES = 600_000
+CACHED_PIECES = 200_000
 
 
 LETTER, NUMBER, SPACE, OTHER = range(4)
@@ -90,11 +90,11 @@ class PieceEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self._known: dict[tuple[int, int], int] = {}
+        self._known: dict[int, int] = {}
         self._pool = np.zeros(1 << 16, np.uint16)
         self._at = np.zeros(1, np.int64)
 
-    def _learn(self, pieces: list[str], keys: list[tuple[int, int]]) -> None:
+    def _learn(self, pieces: list[str], keys: list[int]) -> None:
         found = [self._merge(p.encode()) for p in pieces]
         flat = np.array([i for x in found for i in x], np.uint16)
         ends = self._at[-1] + np.cumsum([len(x) for x in found])
@@ -118,7 +118,7 @@ class PieceEncoder:
             _, first, place = np.unique(hashes, return_index=True, return_inverse=True)
             if (again[first][place] != again).any():  # two pre-tokens of one hash
                 return [np.array(self._tokenizer.encode(t, add_special_tokens=False).ids, np.uint16) for t in texts]
-            keys = list(zip(hashes[first].tolist(), again[first].tolist(), strict=True))
+            keys = [a << 64 | b for a, b in zip(hashes[first].tolist(), again[first].tolist(), strict=True)]
             if len(self._known) > CACHED_PIECES:
                 self._forget()
             known = np.array([self._known.get(k, -1) for k in keys])
@@ -204,14 +204,15 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, id_col
     start, length, ids_crc32, doc_tokens, sequence_id, offset``, with ``with_ids``
     also its ``ids``.  Other columns of ``docs`` are not read.  Special tokens of the file
     that stand in a text become their ids, as in ``tokenizers``.  A worker takes slices of
-    at most 2 MB of text, a longer text by itself.
+    at most 0.5 MB of text, a longer text by itself.
     """
     thin = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kept = thin.mapInArrow(_tokenise(tokenizer), "doc_id long, ids binary, doc_tokens long, local_start long, part int")
     kept = stored(kept, "token_ids")
     totals = kept.groupBy("part").agg(F.sum("doc_tokens").alias("_n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select(F.col("part").alias("_part"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))  # one row per partition
+    bases = totals.select(F.col("part").alias("_part"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    bases = stored(bases, "bases")  # one row per partition; Spark broadcasts it if that is small
     placed = kept.join(bases, F.col("part") == F.col("_part")).select("doc_id", "ids", "doc_tokens", (F.col("local_start") + F.col("_base")).alias("global_start"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return placed.mapInArrow(_cut(window, with_ids), schema + ", ids array<int>" * with_ids)

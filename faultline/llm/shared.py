@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _FALLBACK: dict[str, str] = {}
+#: Rows of an Arrow batch while a table is stored; texts of a batch are held by Spark and by the worker at once.
+BATCH_ROWS = 2000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -24,7 +27,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it again: lineage ends there, and any executor can go."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/faultline/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    given = spark.conf.get(_BATCH_SETTING)
+    spark.conf.set(_BATCH_SETTING, min(int(given), BATCH_ROWS) if int(given) > 0 else BATCH_ROWS)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH_SETTING, given)
     kept = spark.read.schema(df.schema).parquet(path)
     kept.stored_at = path
     return kept

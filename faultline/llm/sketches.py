@@ -49,7 +49,7 @@ def in_bitmap(flags: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (flags[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
-def spread_hashes(hashes: Iterator[np.ndarray], buckets: int, flush: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def spread_hashes(hashes: Iterator[np.ndarray], buckets: int, flush: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Rows (bucket, hashes): the distinct hashes of a stream by their top bits, the next 32 bits of each, twice if it came twice.
 
     ``buckets`` is a power of two.  Streams are merged in steps of about ``flush`` hashes.
@@ -78,13 +78,15 @@ def spread_hashes(hashes: Iterator[np.ndarray], buckets: int, flush: int = 4_000
         yield rows(held)
 
 
-def repeated_bitmap(spread, n_hashes: int, bits: int = 28) -> Broadcast:
+def repeated_bitmap(spread, n_hashes: int, most_bits: int = 28) -> Broadcast:
     """A broadcast bitmap of the hashes that come at least twice; ``spread(buckets)`` has the rows of ``spread_hashes``.
 
-    There are as many buckets as hold about two million hashes each, so that a task's
+    It has four bits for each hash, but no more than ``2**most_bits``.  There are as many buckets as hold about two million hashes each, so that a task's
     share does not grow with the table; each gives its own part of the bitmap.
     """
     spare = min(20, max(8, (n_hashes // 2_000_000).bit_length()))
+    bits = min(most_bits, max(20, (4 * n_hashes).bit_length()))
+    spare = min(spare, bits - 3)
     rows = spread(1 << spare)
 
     def repeated(group: pd.DataFrame) -> pd.DataFrame:
@@ -101,7 +103,7 @@ def repeated_bitmap(spread, n_hashes: int, bits: int = 28) -> Broadcast:
     return rows.sparkSession.sparkContext.broadcast(whole.tobytes())
 
 
-def counted_batches(hashes: Iterator[np.ndarray], flush: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def counted_batches(hashes: Iterator[np.ndarray], flush: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(distinct hashes, counts) of a stream, merged in steps of about ``flush`` hashes before they are shuffled."""
     held, n = [], 0
     for x in hashes:

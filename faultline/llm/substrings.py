@@ -220,7 +220,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text"
     all windows are judged on the input.  What is left is joined by single spaces.
     Null texts have no words, rows shorter than a window lose nothing, repeated rows
     lose every window, and extra columns pass unchanged; columns with the name of a
-    result are replaced.  Texts are taken in slices of at most 2 MB, a longer one by
+    result are replaced.  Texts are taken in slices of at most 0.5 MB, a longer one by
     itself; texts of one 64-bit hash count as one.
     """
     docs = docs.drop("kept_text", "n_words", "n_removed")

@@ -74,7 +74,7 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[first:last], offsets - first
 
 
-def slices(batches: Iterator[pa.RecordBatch], text_at: int, rows: int = 1000, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text_at: int, rows: int = 1000, size: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that no piece has more than ``rows`` rows, nor more bytes of text than ``size`` but for a single longer text."""
     for batch in batches:
         offsets = string_buffers(batch.column(text_at))[1]
