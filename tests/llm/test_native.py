@@ -1,9 +1,11 @@
 import hashlib
 import math
+import random
 import zlib
 
 from pyspark.sql import functions as F
 
+from faultline.llm import ordering, quality
 from faultline.llm.fingerprint import add_fingerprint, fingerprint_with_edits, likeness
 from faultline.llm.quality import binomial_tail, quality_stats, quality_verdicts, risk_controlled_cutoffs
 from faultline.llm.sharding import shard_by_bytes
@@ -118,3 +120,42 @@ def test_shards(spark):
             assert r["start_byte"] == at and (2 * at + r["size"]) * 7 // (2 * total) == shard
             at += r["size"]
     assert shard_by_bytes(empty(spark)).count() == 0
+
+
+def test_buckets_follow_the_order_whatever_repeats(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "QUANTILES", 8)
+    rows = [(5, f"t{k}") for k in range(300)] + [(k, "x") for k in range(400)] + [(None, "n"), (-(2**62), "a"), (2**62, "b")] + [(7, "same")] * 20
+    df = spark.createDataFrame(rows, "id long, text string").withColumn("th", F.xxhash64("text"))
+    for per_bucket in (1, 40, 10**6):
+        bucket = ordering.range_buckets(df.select("id", "th"), "id", F.col("th"), rows_per_bucket=per_bucket)
+        got = sorted(((r["id"] if r["id"] is not None else -(2**63), r["th"]), r["b"]) for r in df.withColumn("b", bucket).collect())
+        assert [b for _, b in got] == sorted(b for _, b in got)
+        sizes = [sum(1 for _, b in got if b == x) for x in {b for _, b in got}]
+        assert len(sizes) == 1 if per_bucket == 10**6 else max(sizes) <= 150
+
+
+def test_binomial_tail_is_exact(spark):
+    cases = [(0, 600, 0.005), (3, 1000, 0.005), (20, 5000, 0.005), (4, 9, 0.3), (180, 40000, 0.005)]
+    for k, n, rate in cases:
+        want = math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(rate) + (n - j) * math.log1p(-rate)) for j in range(k + 1))
+        got = spark.range(1).select(quality.binomial_tail(F.lit(k).cast("long"), F.lit(n).cast("long"), rate).alias("p")).first()["p"]
+        assert abs(got / want - 1) < 1e-7
+
+
+def test_a_rule_rejects_within_its_risk(spark):
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(500)]
+    rows, labels = [], []
+    for k in range(2400):
+        poor = k % 6 == 0
+        text = " ".join(rng.choices(words, k=40)) + (" ### $$$ %%%" if poor else "")
+        rows.append((k, text, "en", "clash"))
+        if k < 1800:
+            labels.append((k, int(not poor)))
+    labels += labels[:50]  # labelled twice
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, symbol_share string")
+    out = quality.quality_verdicts(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    held = [r for r in out if r["doc_id"] >= 1800]
+    assert all(r["failed_rules"] == ["symbol_share"] and not r["kept"] for r in held if r["doc_id"] % 6 == 0)
+    clean = [r for r in held if r["doc_id"] % 6]
+    assert sum(not r["kept"] for r in clean) <= 0.02 * len(clean)
