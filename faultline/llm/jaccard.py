@@ -418,7 +418,8 @@ class JaccardJoin:
         rows = members.groupBy(F.col("key").alias("_key")).agg(F.count(F.lit(1)).alias("_rows"))
         chosen = best.join(rows, "_key").select("_key", (F.col("_rows") > 1).alias("_again"))
         empty = members.where("n_shingles = 0").select(F.col("key").alias("_key"), F.lit(False).alias("_again")).distinct()
+        chosen = stored(chosen.unionByName(empty), "chosen")  # a key and a flag a row; Spark broadcasts it if that is small
         keyed = docs.withColumn("_row_key", F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))))
-        kept = keyed.join(chosen.unionByName(empty), F.col("_row_key") == F.col("_key"))
+        kept = keyed.join(chosen, F.col("_row_key") == F.col("_key"))
         once = kept.where("_again").dropDuplicates(["_row_key"])
         return kept.where("not _again").unionByName(once).select(*docs.columns)
