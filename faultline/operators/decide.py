@@ -77,17 +77,25 @@ def identity_features(hits: DataFrame, identity: str = "issue_type") -> DataFram
         F.avg("norm").alias("f_28"),
     )
     place = F.row_number().over(Window.partitionBy("req_item").orderBy(F.col("f_0").desc(), identity))
-    return grouped.withColumns({"f_1": 1.0 / place, "f_9": 1.0 / F.count(F.lit(1)).over(total), "f_66": F.lit(None).cast("double")}).drop("f_66")
+    return grouped.withColumns({"f_1": 1.0 / place, "f_9": 1.0 / F.count(F.lit(1)).over(total)})
+
+
+def with_field_terms(logs: DataFrame) -> DataFrame:
+    """Adds ``<field>_terms`` for each text field that is compared, once a log."""
+    for name in SIMILAR_FIELDS.values():
+        if name in logs.columns:
+            logs = with_terms(logs, name, f"{name}_terms")
+    return logs
 
 
 def pair_features(pairs: DataFrame, now: Column, rate: float = 0.95) -> DataFrame:
-    """Features of the best pair: ``pairs`` has the request's fields as ``r_*`` and the hit's as ``h_*``; fields that are not there give none."""
+    """Features of the best pair: ``pairs`` has the request's fields as ``r_*`` and the hit's as ``h_*``, from
+    ``with_field_terms``; fields that are not there give none."""
     step = pairs
     out: dict[str, Column] = {}
     for number, name in SIMILAR_FIELDS.items():
-        if f"r_{name}" in pairs.columns and f"h_{name}" in pairs.columns:
-            step = with_terms(with_terms(step, f"r_{name}", f"_r{number}"), f"h_{name}", f"_h{number}")
-            out[f"f_{number}"] = F.bround(similarity(F.col(f"_r{number}"), F.col(f"_h{number}"))["similarity"], 2)
+        if f"r_{name}_terms" in pairs.columns and f"h_{name}_terms" in pairs.columns:
+            out[f"f_{number}"] = F.bround(similarity(F.col(f"r_{name}_terms"), F.col(f"h_{name}_terms"))["similarity"], 2)
     has = lambda *names: all(f"{s}_{n}" in pairs.columns for s in "rh" for n in names)
     equal = lambda n: ((F.trim(F.coalesce(f"r_{n}", F.lit(""))) != "") & (F.col(f"r_{n}") == F.col(f"h_{n}"))).cast("double")
     if has("message"):
@@ -111,8 +119,7 @@ def pair_features(pairs: DataFrame, now: Column, rate: float = 0.95) -> DataFram
         out["f_57"] = (F.col("r_launch_id") == F.col("h_launch_id")).cast("double")
     if "h_start_time" in pairs.columns:
         out["f_64"] = F.bround(S.age_decay(now, F.col("h_start_time"), rate), 2)
-    done = step.withColumns(out)
-    return done.drop(*[c for c in done.columns if c.startswith(("_r", "_h"))])
+    return step.withColumns(out).drop(*[c for c in pairs.columns if c.endswith("_terms")])
 
 
 def rank_items(predictions: DataFrame) -> DataFrame:
@@ -139,10 +146,9 @@ def suggest(ranked: DataFrame, most: int = 3, least: float = 0.4) -> DataFrame:
 def similarity_predictions(pairs: DataFrame, least: float = 0.5) -> DataFrame:
     """The model-free predictor: per request log and item the most similar hit, positive from ``least`` on.
 
-    ``pairs`` has (req_item, req, item, hit, r_message, h_message).
+    ``pairs`` has (req_item, req, item, hit, r_terms, h_terms), the latter from ``with_terms``.
     """
-    step = with_terms(with_terms(pairs, "r_message", "_r"), "h_message", "_h")
-    scored = step.withColumn("probability", similarity(F.col("_r"), F.col("_h"))["similarity"]).drop("_r", "_h")
+    scored = pairs.withColumn("probability", similarity(F.col("r_terms"), F.col("h_terms"))["similarity"]).drop("r_terms", "h_terms")
     best = Window.partitionBy("req", "item").orderBy(F.col("probability").desc(), "hit")
     return scored.withColumn("_b", F.row_number().over(best)).where("_b = 1").drop("_b").withColumn("label", (F.col("probability") >= least).cast("int"))
 

@@ -36,21 +36,21 @@ _HITS = f"""{ORACLE_LOGS}, e AS (SELECT * FROM logs WHERE log_level >= 40000),
 hits AS (SELECT *, row_number() OVER (PARTITION BY req ORDER BY score DESC, hit) - 1 AS hit_pos FROM (
   SELECT a.test_item_id AS req_item, a.log_id AS req, a.test_case_hash, a.launch_id AS r_launch, b.test_item_id AS item, b.log_id AS hit, b.issue_type, b.log_level, length(b.message) AS length,
     date_trunc('day', b.log_time) AS start_time, b.is_auto_analyzed, b.launch_id AS h_launch, ((a.log_id * 31 + b.log_id * 17) % 97) / 10.0 AS score
-  FROM e a JOIN e b ON a.test_case_hash = b.test_case_hash WHERE a.test_item_id <> b.test_item_id AND a.log_id % 8 = 1))
+  FROM e a JOIN e b ON a.test_case_hash = b.test_case_hash WHERE a.test_item_id <> b.test_item_id))
 """
 
 
 def ret_01_more_like_this(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = R.postings(_errors(spark, sf_dir), "message").persist()
+    stored = R.postings(_errors(spark, sf_dir), "message")
     return R.more_like_this(stored, stored, 2.0, 0.6).select("req", "hit", "score", "matched")
 
 
-_BM25 = f"""{ORACLE_LOGS}, w AS (SELECT project, log_id, {D.words('message', unique=False)} AS w FROM logs WHERE log_level >= 50000 AND log_id % 16 <> 15),
+_BM25 = f"""{ORACLE_LOGS}, w AS (SELECT project, log_id, {D.words('message', unique=False)} AS w FROM logs WHERE log_level >= 40000),
 p AS (SELECT project, log_id, len(w) AS length, unnest(w) AS term FROM w),
 post AS (SELECT project, log_id, length, term, count(*) AS tf FROM p GROUP BY ALL),
 size AS (SELECT project, count(*) AS docs, avg(len(w)) AS avgdl FROM w WHERE len(w) > 0 GROUP BY project),
 idf AS (SELECT project, term, docs, avgdl, ln(1 + (docs - df + 0.5) / (df + 0.5)) AS idf FROM (SELECT project, term, count(*) AS df FROM post GROUP BY ALL) JOIN size USING (project)),
-asked AS (SELECT project, log_id AS req, term, avgdl, idf, row_number() OVER (PARTITION BY project, log_id ORDER BY round_even(tf * idf, 9) DESC, term) AS r FROM post JOIN idf USING (project, term) WHERE log_id % 40 = 1),
+asked AS (SELECT project, log_id AS req, term, avgdl, idf, row_number() OVER (PARTITION BY project, log_id ORDER BY round_even(tf * idf, 9) DESC, term) AS r FROM post JOIN idf USING (project, term)),
 chosen AS (SELECT *, count(*) OVER (PARTITION BY project, req) AS terms FROM asked WHERE r <= 50),
 met AS (SELECT req, post.log_id AS hit, terms, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / avgdl))) AS s, count(*) AS matched FROM chosen JOIN post USING (project, term) WHERE req <> post.log_id GROUP BY ALL)
 SELECT req, hit, round_even(2.0 * s, 6) AS score, matched FROM met WHERE matched >= CASE WHEN terms <= 5 THEN terms ELSE floor(terms * 0.6) END"""
@@ -86,10 +86,13 @@ def ret_16_score_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scoped(mode: str) -> Callable[[SparkSession, str], DataFrame]:
+    """The launch scope on what a request may find: the items of its test case."""
+
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        items = logs(spark, sf_dir).groupBy("test_item_id").agg(F.min("launch_id").alias("launch_id"), F.min("launch_name").alias("launch_name"))
+        items = logs(spark, sf_dir).groupBy("test_item_id").agg(*[F.min(c).alias(c) for c in ("launch_id", "launch_name", "test_case_hash")])
         r = items.withColumn("previous_launch_id", F.col("launch_id") - 1).alias("r")
-        return r.join(items.alias("h"), F.expr("r.test_item_id <> h.test_item_id")).where(R.in_launch_scope(mode)).select(F.col("r.test_item_id").alias("req"), F.col("h.test_item_id").alias("item"), R.launch_boost(4.0, mode).alias("boost"))
+        pairs = r.join(items.alias("h"), F.expr("r.test_case_hash = h.test_case_hash AND r.test_item_id <> h.test_item_id"))
+        return pairs.where(R.in_launch_scope(mode)).select(F.col("r.test_item_id").alias("req"), F.col("h.test_item_id").alias("item"), R.launch_boost(4.0, mode).alias("boost"))
 
     return query
 
@@ -97,8 +100,11 @@ def _scoped(mode: str) -> Callable[[SparkSession, str], DataFrame]:
 def _scope_sql(mode: str) -> str:
     name, same, previous = "r.launch_name = h.launch_name", "r.launch_id = h.launch_id", "r.launch_id - 1 = h.launch_id"
     where = {"LAUNCH_NAME": f"{name} AND NOT {same}", "CURRENT_AND_THE_SAME_NAME": name, "CURRENT_LAUNCH": same, "PREVIOUS_LAUNCH": previous, "ALL": f"NOT {same}"}[mode]
-    boost = {"PREVIOUS_LAUNCH": f"CASE WHEN {previous} THEN 4.0 ELSE 0 END", "LAUNCH_NAME": f"CASE WHEN {name} THEN 4.0 ELSE 0 END + CASE WHEN {same} THEN 0.25 ELSE 0 END", "CURRENT_AND_THE_SAME_NAME": f"CASE WHEN {name} THEN 4.0 ELSE 0 END + CASE WHEN {same} THEN 0.25 ELSE 0 END"}.get(mode, f"CASE WHEN {same} THEN 4.0 ELSE 0 END + CASE WHEN {name} THEN 4.0 ELSE 0 END")
-    return f"{ORACLE_LOGS}, i AS (SELECT test_item_id, min(launch_id) AS launch_id, min(launch_name) AS launch_name, min(test_case_hash) AS hash FROM logs GROUP BY 1) SELECT r.test_item_id AS req, h.test_item_id AS item, CAST({boost} AS DOUBLE) AS boost FROM i r JOIN i h ON r.hash % 25 = h.hash % 25 AND r.test_item_id <> h.test_item_id WHERE {where}"
+    by_name = f"CASE WHEN {name} THEN 4.0 ELSE 0 END"
+    boost = {"PREVIOUS_LAUNCH": f"CASE WHEN {previous} THEN 4.0 ELSE 0 END", "ALL": f"CASE WHEN {same} THEN 4.0 ELSE 0 END + {by_name}", "CURRENT_LAUNCH": f"CASE WHEN {same} THEN 4.0 ELSE 0 END + {by_name}"}
+    return f"""{ORACLE_LOGS}, i AS (SELECT test_item_id, min(launch_id) AS launch_id, min(launch_name) AS launch_name, min(test_case_hash) AS hash FROM logs GROUP BY 1)
+SELECT r.test_item_id AS req, h.test_item_id AS item, CAST({boost.get(mode, by_name + f" + CASE WHEN {same} THEN 0.25 ELSE 0 END")} AS DOUBLE) AS boost
+FROM i r JOIN i h ON r.hash = h.hash AND r.test_item_id <> h.test_item_id WHERE {where}"""
 
 
 def flt_03_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,10 +195,11 @@ FROM g JOIN top ON top.req_item = g.req_item AND top.identity = g.identity AND t
 
 
 def fea_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = logs(spark, sf_dir).where("log_level >= 40000")
+    rows = _errors(spark, sf_dir)
     fields = {"message": F.col("message"), "only_numbers": T.only_numbers(F.col("message")), "urls": T.joined(T.extract_urls(F.col("message")), " "), "potential_status_codes": T.joined(T.status_codes(F.col("message")), " "), "launch_name": F.col("launch_name"), "launch_id": F.col("launch_id"), "test_case_hash": F.col("test_case_hash")}
-    a = rows.select(F.col("test_item_id").alias("req_item"), F.col("log_id").alias("req"), *[c.alias(f"r_{n}") for n, c in fields.items()])
-    b = rows.select(F.col("test_item_id").alias("item"), F.col("log_id").alias("hit"), F.col("is_auto_analyzed").alias("h_is_auto_analyzed"), F.col("issue_type").alias("h_issue_type"), F.date_trunc("second", "log_time").alias("h_start_time"), *[c.alias(f"h_{n}") for n, c in fields.items()])
+    ready = decide.with_field_terms(rows.select("test_item_id", "log_id", "is_auto_analyzed", "issue_type", F.date_trunc("second", "log_time").alias("start_time"), *[c.alias(n) for n, c in fields.items()]))
+    a = ready.select(F.col("test_item_id").alias("req_item"), F.col("log_id").alias("req"), *[F.col(c).alias(f"r_{c}") for c in ready.columns if c in fields or c.endswith("_terms")])
+    b = ready.select(F.col("test_item_id").alias("item"), F.col("log_id").alias("hit"), *[F.col(c).alias(f"h_{c}") for c in ready.columns if c not in ("test_item_id", "log_id")])
     pairs = a.join(b, F.expr("r_test_case_hash = h_test_case_hash AND req_item <> item"))
     out = decide.pair_features(pairs, F.lit(NOW).cast("timestamp"))
     return out.select("req", "hit", *[c for c in out.columns if c.startswith("f_")])
@@ -217,9 +224,9 @@ ranked AS (SELECT g.req_item, g.item, round_even(score, 10) AS score, score AS r
 
 
 def mlp_09_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = logs(spark, sf_dir).where("log_level >= 40000")
-    a = rows.select(F.col("test_item_id").alias("req_item"), F.col("log_id").alias("req"), "test_case_hash", F.col("message").alias("r_message"))
-    b = rows.select(F.col("test_item_id").alias("item"), F.col("log_id").alias("hit"), "test_case_hash", F.col("message").alias("h_message"))
+    rows = sim.with_terms(_errors(spark, sf_dir).select("test_item_id", "log_id", "test_case_hash", "message"), "message", "terms")
+    a = rows.select(F.col("test_item_id").alias("req_item"), F.col("log_id").alias("req"), "test_case_hash", F.col("terms").alias("r_terms"))
+    b = rows.select(F.col("test_item_id").alias("item"), F.col("log_id").alias("hit"), "test_case_hash", F.col("terms").alias("h_terms"))
     pairs = a.join(b, "test_case_hash").where("req_item <> item")
     return decide.similarity_predictions(pairs).select("req", "item", "hit", "probability", "label")
 
