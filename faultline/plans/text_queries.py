@@ -25,7 +25,7 @@ def _as_text(items: Column) -> Column:
     return F.array_join(items, "|")
 
 
-def _status() -> str:
+def status_sql() -> str:
     groups = [f"regexp_extract(l, {D.lit(p.removeprefix('(?i)'))}, {g}, 'i')" for p, n in zip(P.STATUS_CODES, P.STATUS_GROUPS, strict=True) for g in range(1, n + 1)]
     return f"list_filter(flatten(list_transform({D.lines(M)}, lambda l: [{', '.join(groups)}])), lambda c: c <> '')"
 
@@ -55,8 +55,8 @@ RULES: dict[str, tuple[Callable[[Column], Column], str | None]] = {
     "txt_11_remove_bracketed": (T.remove_bracketed, D.sub(M, P.BRACKETED)),
     "txt_12_special_characters": (T.blank_special_characters, D.sub(M, P.SPECIAL_CHARACTERS, " ")),
     "txt_13_found_exceptions": (lambda m: _as_text(T.found_exceptions(m)), _j(D.exceptions(M))),
-    "txt_14_status_codes": (lambda m: _as_text(T.status_codes(m)), _j(_status())),
-    "txt_15_unique_status_codes": (lambda m: _as_text(T.unique_status_codes(m)), _j(D.distinct(_status()))),
+    "txt_14_status_codes": (lambda m: _as_text(T.status_codes(m)), _j(status_sql())),
+    "txt_15_unique_status_codes": (lambda m: _as_text(T.unique_status_codes(m)), _j(D.distinct(status_sql()))),
     "txt_16_first_lines": (lambda m: T.first_lines(m, 2), D.join(f"list_slice({D.lines(M)}, 1, 2)")),
     "txt_17_split_words": (lambda m: _as_text(T.split_words(m)), _j(D.words(M))),
     "txt_18_split_words_kept": (lambda m: _as_text(T.split_words(m, 3, False, False, False)), _j(D.words(M, 3, False, False, False))),
