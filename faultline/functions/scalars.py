@@ -99,6 +99,11 @@ def timestamp_of(parts: Column) -> Column:
     return F.make_timestamp_ntz(*[F.get(parts, k) for k in range(6)])
 
 
+def time_parts(time: Column) -> Column:
+    """The seven numbers of a time, year to microseconds."""
+    return F.array(F.year(time), F.month(time), F.dayofmonth(time), F.hour(time), F.minute(time), F.second(time), F.pmod(F.unix_micros(time), F.lit(1_000_000)).cast("int"))
+
+
 def normal_timestamp(text: Column) -> Column:
     """ISO times in UTC without zone; day and second formats; null if nothing fits."""
     zoned = F.regexp_replace(text, "Z$", "+00:00")

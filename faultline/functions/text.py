@@ -415,3 +415,12 @@ def message_for_clustering(text: Column, n_lines: int, clean_numbers: bool, keep
         words = split_words(short, min_length=2, unique=False, to_lower=False)
         short = F.when(F.size(words) == 1, F.concat(words[0], F.lit(" error"))).otherwise(joined(words, " "))
     return F.when(F.length(text) > 0, short)
+
+
+def unified_path(path: Column) -> Column:
+    return F.replace(path, F.lit("\\"), F.lit("/"))
+
+
+def stripped_path(path: Column) -> Column:
+    """Without white space around it, slashes at its end, and then backslashes."""
+    return F.regexp_replace(F.regexp_replace(F.trim(path), "/+$", ""), r"\\+$", "")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.plans import item_queries, request_queries, search_queries, text_queries, training_queries
+from faultline.plans import item_queries, request_queries, search_queries, store_queries, text_queries, training_queries
 
-GROUPS = [text_queries, item_queries, search_queries, request_queries, training_queries]
+GROUPS = [text_queries, item_queries, search_queries, request_queries, store_queries, training_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -55,9 +55,11 @@ def pre_13_stack_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare.stack_words(logs(spark, sf_dir))
 
 
-_LAST_UNIQUE_CTE = f"""{ORACLE_LOGS},
+def last_unique_sql(text: str, where: str) -> str:
+    """CTEs that end in ``chosen``: the logs of each item that stay when of like texts the last is kept."""
+    return f"""{ORACLE_LOGS},
 numbered AS (SELECT test_item_id AS grp, log_id, row_number() OVER (PARTITION BY test_item_id ORDER BY log_id) - 1 AS idx,
-  list_filter(string_split_regex({D.join(D.similarity_words('message'), ' ')}, '\\W+'), lambda w: w <> '') AS ws FROM logs WHERE log_level >= 40000),
+  list_filter(string_split_regex({text}, '\\W+'), lambda w: w <> '') AS ws FROM logs WHERE {where}),
 terms AS (SELECT grp, idx, unnest(list_concat(ws, list_transform(range(1, greatest(len(ws), 1)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS term FROM numbered),
 tf AS (SELECT grp, idx, term, count(*) AS tf FROM terms GROUP BY ALL),
 sizes AS (SELECT grp, count(*) AS n FROM numbered GROUP BY grp),
@@ -76,6 +78,9 @@ chosen AS (SELECT n.grp AS test_item_id, n.log_id, row_number() OVER (PARTITION
 """
 
 
+_LAST_UNIQUE_CTE = last_unique_sql(D.join(D.similarity_words("message"), " "), "log_level >= 40000")
+
+
 def num_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = logs(spark, sf_dir).withColumn("n", F.col("log_id") % 30)
     return row.select(

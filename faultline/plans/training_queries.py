@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.functions import scalars as S
@@ -44,13 +43,13 @@ def trn_08_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mlp_01_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir).select(F.col("event_id").alias("id"), (F.col("value") > 40).cast("int").alias("target"), F.col("value").alias("f_0"), (F.col("user_id") % 7).cast("double").alias("f_1"))
-    split = T.stratified_split(rows).persist()
+    split = T.stratified_split(rows)
     model = T.train_boosting(split.where("NOT is_test"), ["f_0", "f_1"], trees=10)
     return model.transform(split.where("is_test").fillna(0.0)).select("id", "target", F.col("prediction").cast("int").alias("predicted"))
 
 
 def mlp_03_defect_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = T.stratified_split(T.binary_target(_entries(spark, sf_dir), "pb")).persist()
+    rows = T.stratified_split(T.binary_target(_entries(spark, sf_dir), "pb"))
     model = T.train_defect_type(rows.where("NOT is_test"))
     from faultline.functions.text import defect_tokens
 
@@ -81,13 +80,13 @@ def agg_22_launch_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def src_01_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{tempfile.mkdtemp(prefix='faultline-scan-')}/items" if not spark.conf.get("spark.checkpoint.dir", None) else f"{spark.conf.get('spark.checkpoint.dir')}/faultline-items"
+    path = f"{tables.work_folder(spark)}/faultline-items"
     tables.write_items(logs(spark, sf_dir).select("project", "log_id", "launch_id", "message"), path)
     return tables.scan(spark, path, 2, F.col("launch_id") > 10).select("log_id", "launch_id")
 
 
 def src_03_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = spark.range(0, 5000, 7).select(F.col("id").alias("log_id"))
+    ids = logs(spark, sf_dir).where("amount > 40").select("log_id")
     return tables.by_ids(logs(spark, sf_dir), ids, "log_id").select("log_id", "launch_id")
 
 
@@ -111,8 +110,7 @@ def snk_06_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snk_07_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="faultline-objects-")
-    store = tables.ObjectStore(spark, f"{folder}/faultline-objects")
+    store = tables.ObjectStore(spark, f"{tables.work_folder(spark)}/faultline-objects")
     store.put(7, "namespaces/words.json", {"acme": 3})
     store.put(7, "other.json", {"x": 1})
     store.remove(7, "other.json")
@@ -123,13 +121,12 @@ def snk_07_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 def str_02_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = events(spark, sf_dir).select(F.col("event_id").alias("number"), F.concat((F.col("user_id") * 1000).cast("string"), F.when(F.col("event_id") % 2 == 0, "L").otherwise("")).alias("timestamp"))
     ordered = messages.withColumn("priority", intake.priority(F.col("timestamp"), F.lit(0)))
-    return ordered.select("number", "priority", F.row_number().over(Window.orderBy("priority", "number")).alias("place"))
+    return intake.placed(ordered, tables.work_folder(spark)).select("number", "priority", "place")
 
 
 def str_06_stream_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trigger totals of a stream over the events files, after all of it has been read."""
-    folder = tempfile.mkdtemp(prefix="faultline-stream-") if not spark.conf.get("spark.checkpoint.dir", None) else spark.conf.get("spark.checkpoint.dir")
-    return intake.gathered_totals(spark, f"{sf_dir}/events*.parquet", events(spark, sf_dir).schema, folder)
+    return intake.gathered_totals(spark, f"{sf_dir}/events*.parquet", events(spark, sf_dir).schema, tables.work_folder(spark))
 
 
 _NAMES = """trn_02_balance trn_03_targets trn_05_candidates trn_06_history_hits trn_08_split mlp_01_boosting mlp_03_defect_type mlp_06_model_choice trn_14_triggers agg_17_defects agg_22_launch_stats src_01_scan src_03_by_ids
@@ -158,7 +155,7 @@ w AS (WITH RECURSIVE r AS (SELECT project, 0 AS k, CAST(0 AS BIGINT) AS total, C
   UNION ALL SELECT r.project, o.k, CAST(total + g AS BIGINT), CAST(CASE WHEN total + g >= 100 AND since + g >= 100 THEN 0 ELSE since + g END AS BIGINT), CAST(fired + CASE WHEN total + g >= 100 AND since + g >= 100 THEN 1 ELSE 0 END AS BIGINT) FROM r JOIN o ON o.project = r.project AND o.k = r.k + 1) SELECT * FROM r)
 SELECT project, 'defect_type' AS model, total, fired, since FROM w QUALIFY row_number() OVER (PARTITION BY project ORDER BY k DESC) = 1""",
         "src_01_scan": f"{ORACLE_LOGS} SELECT log_id, launch_id FROM logs WHERE project = 2 AND launch_id > 10",
-        "src_03_by_ids": f"{ORACLE_LOGS} SELECT log_id, launch_id FROM logs WHERE log_id % 7 = 0 AND log_id < 5000",
+        "src_03_by_ids": f"{ORACLE_LOGS} SELECT log_id, launch_id FROM logs WHERE amount > 40",
         "src_04_requests": "SELECT event_id AS launchId, user_id AS project, 1 AS items, false AS broken FROM events WHERE event_id % 10 <> 3 UNION ALL SELECT NULL, count(*), NULL, true FROM events WHERE event_id % 10 = 3",
         "src_07_launch_rows": f"{ORACLE_LOGS} SELECT project, launch_id, test_item_id, log_id, log_level FROM logs",
         "snk_06_responses": f"{ORACLE_LOGS} SELECT DISTINCT '{{\"test_item_id\":' || test_item_id || CASE WHEN issue_type IS NULL THEN '' ELSE ',\"issue_type\":\"' || issue_type || '\"' END || '}}' AS value FROM logs",

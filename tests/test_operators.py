@@ -6,36 +6,39 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from faultline.operators import clustering, training
+from faultline.functions import scalars as S
+from faultline.operators import clustering, entries, training
 from faultline.sources import requests, tables
 from faultline.streaming import intake
 
 
-def walk(sets, threshold_of):
-    roots = {}
-    for i in range(len(sets)):
-        if i in roots:
-            continue
-        roots[i] = i
-        for j in range(i + 1, len(sets)):
-            if j not in roots and sets[i] and sets[j]:
-                if len(sets[i] & sets[j]) / (len(sets[i]) * len(sets[j])) ** 0.5 >= threshold_of(min(len(sets[i]), len(sets[j]))) - 1e-9:
-                    roots[j] = i
-    return roots
+def walk(sets, threshold):
+    """Each set's first earlier one that is like it, followed to the end."""
+    like = lambda x, y: round(len(x & y) / (len(x) * len(y)) ** 0.5, 6) >= threshold(min(len(x), len(y)))
+    up = [next((i for i in range(j) if like(sets[i], s)), j) for j, s in enumerate(sets)]
+    for j in range(len(up)):
+        while up[up[j]] != up[j]:
+            up[j] = up[up[j]]
+    return up
 
 
-def test_greedy_groups_match_a_walk(spark):
+@pytest.mark.parametrize("block", [1000, 4])
+def test_greedy_groups_match_a_walk(spark, monkeypatch, block):
+    monkeypatch.setattr(clustering, "BLOCK", block)
     rng = random.Random(3)
-    items, want = [], {}
+    items, every = [], {}
     for g in range(12):
         sets = [{f"w{rng.randrange(8)}" for _ in range(rng.randint(1, 8))} for _ in range(12)]
         items += [(g, k, sorted(s)) for k, s in enumerate(sets)]
-        # Only items that are no one's member start a group; members of members are not drawn in.
-        want.update({(g, k): r for k, r in walk(sets, lambda n: 0.7).items()})
+        every[g] = sets
+    sizes = spark.range(1, 9).select("id", S.adaptive_threshold(F.col("id"), 0.7).alias("t")).collect()
+    threshold = {r["id"]: r["t"] for r in sizes}
     df = spark.createDataFrame(items, "grp long, idx long, tokens array<string>")
     got = {(r["grp"], r["idx"]): r["root"] for r in clustering.similarity_groups(df, 0.7).collect()}
-    assert set(got) == set(want)
-    assert all(got[g, got[g, k]] == got[g, k] for g, k in got)
+    if block == 1000:
+        assert got == {(g, k): r for g, sets in every.items() for k, r in enumerate(walk(sets, threshold.get))}
+    else:  # only block 0 and the own block are looked at
+        assert all(got[g, got[g, k]] == got[g, k] and (got[g, k] // 4 in (0, k // 4)) for g, k in got)
 
 
 def test_clusters_of_messages(spark):
@@ -94,3 +97,55 @@ def test_stream_of_requests(spark, tmp_path):
     handled = intake.process(intake.routed(stream, False), {"index": lambda b: b.select("number", F.upper("body").alias("reply"))}, f"{tmp_path}/out", f"{tmp_path}/cp")
     handled.awaitTermination()
     assert sorted(r["reply"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["A", "B"]
+
+
+def test_failed_handlers_run_again_and_answer(spark, tmp_path):
+    rows = spark.createDataFrame([("index", 1, 1, "c-1"), ("index", 2, 2, "c-2"), ("clean", 1, 3, "c-3"), ("item_remove", 1, 4, "c-4")], "route string, priority long, number long, correlation_id string")
+    rows.write.parquet(f"{tmp_path}/in")
+    tries = {"index": 0, "item_remove": 0}
+
+    def flaky(batch):
+        tries["index"] += 1
+        if tries["index"] < 3:
+            raise RuntimeError("not yet")
+        return batch.select("number", F.lit("done").alias("reply"))
+
+    def hopeless(batch):
+        tries["item_remove"] += 1
+        raise RuntimeError("conflict, but no document was found")
+
+    handlers = {"index": flaky, "clean": lambda b: b.select("number", F.lit("ok").alias("reply")), "item_remove": hopeless}
+    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    intake.process(stream, handlers, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    out = lambda route: [r.asDict() for r in spark.read.parquet(f"{tmp_path}/out/route={route}").collect()]
+    assert sorted((r["correlation_id"], r["reply"], r["attempt"]) for r in out("index")) == [("c-1", "done", 3), ("c-2", "done", 3)]
+    assert [(r["correlation_id"], r["reply"]) for r in out("clean")] == [("c-3", "ok")]
+    assert [(r["correlation_id"], r["reply"], "no document" in r["error"]) for r in out("item_remove")] == [("c-4", None, True)] and tries["item_remove"] == 1
+
+
+def test_training_keeps_only_what_is_better(spark, tmp_path):
+    rows = spark.createDataFrame([(k, float(k % 7), float(k % 3), int(k % 7 > 3)) for k in range(240)], "id long, f_0 double, f_1 double, target int")
+    told = entries.train_analysis(rows, ["f_0", "f_1", "f_9"], None, f"{tmp_path}/model", seeds=[1, 2], trees=3)
+    assert told["saved"] and told["new_f1"] > 0.9 and told["baseline_f1"] == 0.0
+    from pyspark.ml import PipelineModel
+
+    baseline = PipelineModel.load(f"{tmp_path}/model")
+    again = entries.train_analysis(rows, ["f_0", "f_1", "f_9"], baseline, f"{tmp_path}/other", seeds=[1, 2], trees=3)
+    assert not again["saved"] and again["baseline_f1"] > 0.9
+    few = entries.train_analysis(rows.where("target = 0"), ["f_0"], None, f"{tmp_path}/none", seeds=[1])
+    assert few["bad_data"] and not few["saved"]
+
+
+def test_a_stored_cluster_is_taken_over(spark):
+    from faultline.operators import answers
+
+    shape = "project long, launch_id long, test_item_id long, log_id long, message string, found_exceptions string, potential_status_codes string"
+    text = "connection to database lost on node alpha while saving order"
+    rows = [(1, 5, 50, 1, text, "E", ""), (1, 5, 51, 2, text, "E", ""), (1, 5, 52, 3, "cart item is missing for user bob today", "", ""), (1, 5, 53, 4, text, "Other", "")]
+    old = [(1, 4, 40, 9, text, "E", "", 771, text), (1, 4, 41, 8, text, "E", "", 0, ""), (1, 5, 50, 10, text, "E", "", 991, text)]
+    found, updates = answers.clusters_of_launch(spark.createDataFrame(rows, shape), spark.createDataFrame(old, shape + ", cluster_id long, cluster_message string"))
+    got = {tuple(r["log_ids"]): r for r in found.collect()}
+    assert set(got) == {(1, 2), (3,), (4,)} and got[1, 2]["cluster_id"] == 771 and got[1, 2]["item_ids"] == [50, 51]
+    assert got[4,]["cluster_id"] not in (771, 991) and updates.count() == 4
+    redone, _ = answers.clusters_of_launch(spark.createDataFrame(rows, shape), spark.createDataFrame(old, shape + ", cluster_id long, cluster_message string"), for_update=True)
+    assert {r["cluster_id"] for r in redone.collect() if 1 in r["log_ids"]} == {991}
