@@ -124,7 +124,7 @@ def bigrams(words: Column) -> Column:
 def history_negatives(history: Column, most: int = 2) -> Column:
     """The last different types an item had before its present one, newest first."""
     types = F.filter(F.reverse(F.transform(history, lambda h: h["issue_type"])), lambda t: t.isNotNull())
-    return F.slice(F.array_distinct(F.filter(types, lambda t: t != F.element_at(history, -1)["issue_type"])), 1, most)
+    return F.slice(F.array_distinct(F.filter(types, lambda t: t != F.get(history, F.size(history) - 1)["issue_type"])), 1, most)
 
 
 def update_map(raw_json: Column) -> Column:

@@ -76,7 +76,7 @@ def identity_features(hits: DataFrame, identity: str = "issue_type") -> DataFram
         (F.count(F.lit(1)) / F.first("_n")).alias("f_7"),
         F.avg("norm").alias("f_28"),
     )
-    place = F.row_number().over(Window.partitionBy("req_item").orderBy(F.col("f_0").desc(), identity))
+    place = F.row_number().over(Window.partitionBy("req_item").orderBy(F.bround("f_0", 9).desc(), identity))
     return grouped.withColumns({"f_1": 1.0 / place, "f_9": 1.0 / F.count(F.lit(1)).over(total)})
 
 

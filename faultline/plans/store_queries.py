@@ -253,7 +253,7 @@ def oracles() -> dict[str, str]:
         "set_03_words": f"{ORACLE_LOGS} SELECT DISTINCT project, unnest({D.words('message')}) AS word FROM logs",
         "fea_counts": f"""{Q._HITS}, n AS (SELECT *, CASE WHEN max(score) OVER (PARTITION BY req_item) > 0 THEN score / max(score) OVER (PARTITION BY req_item) ELSE 1.0 END AS norm FROM hits WHERE issue_type IS NOT NULL),
 s AS (SELECT *, norm / sum(norm) OVER (PARTITION BY req_item) AS share FROM n), g AS (SELECT req_item, issue_type, sum(share) AS f_0 FROM s GROUP BY ALL),
-placed AS (SELECT req_item, issue_type, 1.0 / row_number() OVER (PARTITION BY req_item ORDER BY f_0 DESC, issue_type) AS f_1 FROM g),
+placed AS (SELECT req_item, issue_type, 1.0 / row_number() OVER (PARTITION BY req_item ORDER BY round_even(f_0, 9) DESC, issue_type) AS f_1 FROM g),
 top AS (SELECT req_item, issue_type, item FROM s QUALIFY row_number() OVER (PARTITION BY req_item, issue_type ORDER BY score DESC, req, hit_pos) = 1),
 q AS (SELECT req_item, count(DISTINCT req) AS asked FROM n GROUP BY 1), f AS (SELECT req_item, item, count(DISTINCT req) AS found FROM n GROUP BY ALL)
 SELECT req_item, issue_type, round_even(f_1, 8) AS f_1, round_even(found / asked, 8) AS f_65, asked AS f_66 FROM placed JOIN top USING (req_item, issue_type) JOIN q USING (req_item) JOIN f USING (req_item, item)""",
