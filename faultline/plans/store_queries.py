@@ -231,8 +231,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _HISTORY = f"""{ORACLE_LOGS}, h AS (SELECT test_item_id, log_id, lower(issue_type) || (log_id % 3) AS t FROM logs WHERE issue_type IS NOT NULL),
 present AS (SELECT test_item_id, max_by(t, log_id) AS t FROM h GROUP BY 1),
-others AS (SELECT h.test_item_id, h.t, max(log_id) AS at FROM h JOIN present p ON p.test_item_id = h.test_item_id AND p.t <> h.t GROUP BY ALL),
-past AS (SELECT test_item_id, t FROM others QUALIFY row_number() OVER (PARTITION BY test_item_id ORDER BY at DESC) <= 2),
+others AS (SELECT h.test_item_id, h.t, max(log_id) AS last_id FROM h JOIN present p ON p.test_item_id = h.test_item_id AND p.t <> h.t GROUP BY ALL),
+past AS (SELECT test_item_id, t FROM others QUALIFY row_number() OVER (PARTITION BY test_item_id ORDER BY last_id DESC) <= 2),
 kinds AS (SELECT test_item_id, t, true AS is_positive FROM present UNION ALL SELECT test_item_id, t, false FROM past),
 entries AS (SELECT l.test_item_id, l.log_id, CASE WHEN regexp_full_match(k.t, '[a-z]{{2}}\\d{{0,3}}') THEN substr(k.t, 1, 2) ELSE k.t END AS issue_type, is_positive FROM logs l JOIN kinds k USING (test_item_id) JOIN present p USING (test_item_id)
   WHERE trim(l.message) <> '' AND substr(p.t, 1, 2) IN ('ab', 'pb', 'si', 'nd') AND substr(k.t, 1, 2) IN ('ab', 'pb', 'si', 'nd'))"""
