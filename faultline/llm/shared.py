@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,16 +25,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet into the shared folder and reads it again: lineage ends there, and any executor can go."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/faultline/{uuid.uuid4().hex}/{name}"
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs run meanwhile give their workers no more than ``BATCH_ROWS`` rows at once."""
     given = spark.conf.get(_BATCH_SETTING)
     spark.conf.set(_BATCH_SETTING, min(int(given), BATCH_ROWS) if int(given) > 0 else BATCH_ROWS)
     try:
-        df.write.parquet(path)
+        yield
     finally:
         spark.conf.set(_BATCH_SETTING, given)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` as Parquet into the shared folder and reads it again: lineage ends there, and any executor can go."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/faultline/{uuid.uuid4().hex}/{name}"
+    with small_batches(spark):
+        df.write.parquet(path)
     kept = spark.read.schema(df.schema).parquet(path)
     kept.stored_at = path
     return kept

@@ -16,6 +16,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faultline.llm.shared import small_batches
+
 BLOCKS = 256
 
 
@@ -95,7 +97,8 @@ def repeated_bitmap(spread, n_hashes: int, most_bits: int = 28) -> Broadcast:
         flags[found[1:][found[1:] == found[:-1]] >> np.uint32(32 - bits + spare)] = 1
         return pd.DataFrame({"bucket": group["bucket"].iloc[:1].to_numpy(), "flags": [np.packbits(flags, bitorder="little").tobytes()]})
 
-    parts = rows.groupBy("bucket").applyInPandas(repeated, "bucket int, flags binary").collect()  # 2**bits bits
+    with small_batches(rows.sparkSession):
+        parts = rows.groupBy("bucket").applyInPandas(repeated, "bucket int, flags binary").collect()  # 2**bits bits
     whole = np.zeros(1 << (bits - 3), np.uint8)
     size = len(whole) >> spare
     for row in parts:

@@ -12,6 +12,7 @@ word bytes, so every executor and every run agrees on them.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,6 +85,15 @@ def slices(batches: Iterator[pa.RecordBatch], text_at: int, rows: int = 1000, si
             hi = min(max(lo + 1, hi), lo + rows, batch.num_rows)
             yield batch.slice(lo, hi - lo)
             lo = hi
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: a worker waits for its next task while others share the executor's memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
 
 
 def is_space(data: np.ndarray) -> np.ndarray:
