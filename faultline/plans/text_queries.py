@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from faultline.functions import patterns as P
 from faultline.functions import text as T
 from faultline.plans import duck as D
+from faultline.plans import text_oracles as O
 from faultline.plans.logs import ORACLE_LOGS, logs
 
 M = "message"
@@ -40,7 +41,7 @@ def _unique_lines() -> str:
     return D.join(f"list_transform(list_filter(list_zip({kept}, {keys}, range(1, len({kept}) + 1)), lambda p: list_position({keys}, p[2]) = p[3]), lambda p: p[1])")
 
 
-#: Key -> (column of the message, DuckDB expression or None where its regular expressions can't say it).
+#: Key -> (column of the message, DuckDB expression or None where the rule has a query of its own).
 RULES: dict[str, tuple[Callable[[Column], Column], str | None]] = {
     "txt_01_replace_patterns": (lambda m: T.replaced(m, [("fail(ed)?", "FAIL$1"), (r"\s+", " ")]), D.subs(M, [("fail(ed)?", "FAIL$1"), (r"\s+", " ")])),
     "txt_02_starting_datetime": (T.remove_starting_datetime, D.subs(M, P.STARTING_DATETIME)),
@@ -50,7 +51,7 @@ RULES: dict[str, tuple[Callable[[Column], Column], str | None]] = {
     "txt_06_delete_empty_lines": (T.delete_empty_lines, D.no_empty_lines(M)),
     "txt_07_count_lines": (T.count_lines, f"CAST(len(list_filter({D.lines(M)}, lambda l: {D.filled('l')})) AS INTEGER)"),
     "txt_08_is_python_log": (T.is_python_log, f"list_distinct(regexp_extract_all({M} || ' ', '\\.({'|'.join(P.FILE_EXTENSIONS)})\\b[^.]', 1)) = ['py']"),
-    "txt_09_is_message_start": (T.is_message_start, None),
+    "txt_09_is_message_start": (T.is_message_start, O.message_start(M)),
     "txt_10_remove_numbers": (T.remove_numbers, D.numbers_removed(M)),
     "txt_11_remove_bracketed": (T.remove_bracketed, D.sub(M, P.BRACKETED)),
     "txt_12_special_characters": (T.blank_special_characters, D.sub(M, P.SPECIAL_CHARACTERS, " ")),
@@ -60,27 +61,27 @@ RULES: dict[str, tuple[Callable[[Column], Column], str | None]] = {
     "txt_16_first_lines": (lambda m: T.first_lines(m, 2), D.join(f"list_slice({D.lines(M)}, 1, 2)")),
     "txt_17_split_words": (lambda m: _as_text(T.split_words(m)), _j(D.words(M))),
     "txt_18_split_words_kept": (lambda m: _as_text(T.split_words(m, 3, False, False, False)), _j(D.words(M, 3, False, False, False))),
-    "txt_19_stack_lines": (lambda m: F.array_join(F.transform(T.lines_of(m), lambda x: T.is_stack_line(x).cast("string")), "|"), None),
+    "txt_19_stack_lines": (lambda m: F.array_join(F.transform(T.lines_of(m), lambda x: T.is_stack_line(x).cast("string")), "|"), _j(f"list_transform({D.lines(M)}, lambda l: CAST({O.stack_line('l')} AS VARCHAR))")),
     "txt_20_message": (lambda m: T.split_message_and_stack(m)["message"], None),
     "txt_20_stack": (lambda m: T.split_message_and_stack(m)["stack"], None),
     "txt_21_python_parts": (lambda m: F.to_json(T.split_python_log(m)), None),
     "txt_22_unique_strings": (lambda m: _as_text(F.array_distinct(F.split(m, " "))), _j(D.distinct(f"string_split({M}, ' ')"))),
-    "txt_23_clustering_text": (lambda m: T.message_for_clustering(m, 2, True), None),
+    "txt_23_clustering_text": (lambda m: T.message_for_clustering(m, 2, True), O.clustering_text(M, 2, D.distinct(status_sql()))),
     "txt_24_html_tags": (T.clean_html_tags, D.subs(M, _HTML)),
     "txt_26_decode_urls": (T.decode_urls, f"CASE WHEN url_decode({M}) <> {M} THEN {D.sub(f'url_decode({M})', '[(){}#%]', ' ')} ELSE {M} END"),
-    "txt_27_clean_html": (T.clean_html, None),
+    "txt_27_clean_html": (T.clean_html, O.html_cleaned(M)),
     "txt_28_only_numbers": (T.only_numbers, D.join(D.words(D.sub(M, r"[^\d ._]"), unique=False), " ")),
-    "txt_29_enrich_methods": (T.enrich_methods, None),
-    "txt_30_item_name_words": (T.test_item_name_words, None),
+    "txt_29_enrich_methods": (T.enrich_methods, O.enriched_methods(M)),
+    "txt_30_item_name_words": (T.test_item_name_words, O.item_name_words(M)),
     "txt_31_test_methods": (lambda m: _as_text(T.test_methods(m)), f"{_j(f'''list_filter({D.distinct(f"list_concat(regexp_extract_all({M}, {D.lit(P.TEST_METHOD)}), regexp_extract_all({M}, {D.lit(P.TEST_FILE)}))")}, lambda t: len({D.exceptions('t')}) = 0)''')}"),
-    "txt_32_test_method_words": (T.test_method_words, None),
-    "txt_33_defect_tokens": (lambda m: _as_text(T.defect_tokens(m)), None),
+    "txt_32_test_method_words": (T.test_method_words, O.test_method_words(M)),
+    "txt_33_defect_tokens": (lambda m: _as_text(T.defect_tokens(m)), _j(O.defect_tokens(M))),
     "txt_34_remove_uuids": (T.remove_uuids, D.subs(M, P.UUIDS)),
     "txt_35_remove_hex": (T.remove_hex, D.subs(M, P.HEX)),
     "txt_36_tabs_to_lines": (T.tabs_to_lines, f"replace({M}, chr(9), chr(10))"),
     "txt_37_line_endings": (T.unify_line_endings, D.sub(M, P.LINE_ENDING, "\n")),
     "txt_38_unify_spaces": (T.unify_spaces, D.subs(M, P.SPACES)),
-    "txt_39_generated_parts": (T.remove_generated_parts, None),
+    "txt_39_generated_parts": (T.remove_generated_parts, O.generated_removed(M)),
     "txt_40_unique_lines": (T.unique_lines, _unique_lines()),
     "txt_41_space_colons": (T.space_colons, f"replace({M}, ':', ' : ')"),
     "txt_42_extract_urls": (lambda m: _as_text(T.extract_urls(m)), _j(f"regexp_extract_all({M}, {D.lit(P.URL.removeprefix('(?i)'))}, 0, 'i')")),
@@ -90,7 +91,7 @@ RULES: dict[str, tuple[Callable[[Column], Column], str | None]] = {
         _j(_trimmed_distinct(f"list_transform(regexp_extract_all({M}, {D.lit(P.QUOTED)}, 1), lambda q: {D.subs('regexp_extract(q, ' + D.lit('''[^'" ]*[^'"]+''') + ')', _TRIM)})")),
     ),
     "txt_46_credentials": (lambda m: F.array_join(F.transform(T.extract_urls(m), T.remove_credentials), "|"), _j(f"list_transform(regexp_extract_all({M}, {D.lit(P.URL.removeprefix('(?i)'))}, 0, 'i'), lambda u: {D.sub('u', P.CREDENTIALS, '$1')})")),
-    "txt_47_enrich_exceptions": (lambda m: T.enrich_exceptions(T.joined(T.found_exceptions(m), " ")), None),
+    "txt_47_enrich_exceptions": (lambda m: T.enrich_exceptions(T.joined(T.found_exceptions(m), " ")), O.enriched_exceptions(D.join(D.exceptions(M), " "))),
     "txt_49_blank_pieces": (lambda m: T.blank_pieces(m, F.array(F.lit("failed"), F.lit("fail"), F.lit("at "))), f"replace(replace(replace({M}, 'failed', ' '), 'fail', ' '), 'at ', ' ')"),
     "txt_51_access_tokens": (T.remove_access_tokens, D.subs(M, P.ACCESS_TOKENS)),
     "txt_52_markdown": (T.remove_markdown_mark, D.sub(M, P.MARKDOWN_MARK)),
@@ -112,4 +113,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracles() -> dict[str, str]:
-    return {key: f"{ORACLE_LOGS} SELECT log_id, {sql} AS value FROM logs" for key, (_, sql) in RULES.items() if sql is not None}
+    plain = {key: f"{ORACLE_LOGS} SELECT log_id, {sql} AS value FROM logs" for key, (_, sql) in RULES.items() if sql is not None}
+    as_json = "to_json({'message': message, 'stack': stack})"
+    return plain | {"txt_20_message": O.part_query("message"), "txt_20_stack": O.part_query("stack"), "txt_21_python_parts": O.part_query(f"CAST({as_json} AS VARCHAR)", "parted_python")}
