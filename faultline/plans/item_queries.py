@@ -11,19 +11,12 @@ from faultline.functions import scalars as S
 from faultline.functions import text as T
 from faultline.operators import prepare, similarity
 from faultline.plans import duck as D
+from faultline.plans import text_oracles as O
 from faultline.plans.logs import ORACLE_LOGS, events, logs
-from faultline.functions import patterns as P
 
 _ITEM = ["project", "launch_id", "launch_name", "issue_type", "unique_id", "test_case_hash", "test_item_name", "is_auto_analyzed"]
 
 
-def _basic_sql(m: str) -> str:
-    text = D.subs(m, [(r"^\s+|\s+$", "")])
-    for patterns in (P.STARTING_LEVEL, P.STARTING_DATETIME, P.STARTING_LEVEL, P.STARTING_THREAD_ID, P.STARTING_THREAD_NAME, P.STARTING_LEVEL):
-        text = D.subs(text, patterns)
-    return D.no_empty_lines(D.sub(D.sub(text, P.LINE_ENDING, "\n"), P.MARKDOWN_MARK))
-
-
 def pre_01_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs(spark, sf_dir).select("log_id", prepare.basic_message(F.col("message")).alias("value"))
 
@@ -197,7 +190,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracles() -> dict[str, str]:
     time = "strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S')"
     return {
-        "pre_01_basic": f"{ORACLE_LOGS} SELECT log_id, {_basic_sql('message')} AS value FROM logs",
+        "pre_01_basic": f"{ORACLE_LOGS} SELECT log_id, {O.basic_message('message')} AS value FROM logs",
+        "pre_03_unify": O.unified_sql(),
+        "pre_09_bundle": O.prepared_sql(),
+        "pre_10_clustering_bundle": O.prepared_sql(3, for_clustering=True),
+        "pre_13_stack_words": O.stack_words_sql(),
         "pre_12_selected_logs": _LAST_UNIQUE_CTE + "SELECT test_item_id, log_id, row_number() OVER (PARTITION BY test_item_id ORDER BY back DESC) - 1 AS log_order FROM chosen WHERE back <= 3",
         "sim_05_last_unique": _LAST_UNIQUE_CTE + "SELECT test_item_id, log_id FROM chosen",
         "dat_times": f"SELECT event_id, {time} AS formatted, {time} AS normal, true AS none FROM events",

@@ -7,6 +7,7 @@ with boundaries that are matched, with pieces of a split text, or with folds ove
 from __future__ import annotations
 
 from faultline.functions import patterns as P
+from faultline.operators.prepare import LINE_FIELDS
 from faultline.plans import duck as D
 from faultline.plans.logs import ORACLE_LOGS
 
@@ -153,5 +154,112 @@ def clustering_text(t: str, n_lines: int, codes: str) -> str:
     return f"CASE WHEN length({t}) > 0 THEN list_transform([{words}], lambda ws: CASE WHEN len(ws) = 1 THEN ws[1] || ' error' ELSE array_to_string(ws, ' ') END)[1] END"
 
 
+def status_codes(t: str) -> str:
+    groups = [f"regexp_extract(l, {D.lit(p.removeprefix('(?i)'))}, {g}, 'i')" for p, n in zip(P.STATUS_CODES, P.STATUS_GROUPS, strict=True) for g in range(1, n + 1)]
+    return f"list_filter(flatten(list_transform({D.lines(t)}, lambda l: [{', '.join(groups)}])), lambda c: c <> '')"
+
+
+def _trimmed_distinct(items: str) -> str:
+    return D.distinct(f"list_filter({items}, lambda x: x <> '')")
+
+
+def paths(t: str) -> str:
+    return _trimmed_distinct(f"list_transform(regexp_extract_all({t}, {D.lit(P.PATH)}), lambda x: {D.subs('x', _TRIM)})")
+
+
+def params(t: str) -> str:
+    inner = "regexp_extract(q, " + D.lit("""[^'" ]*[^'"]+""") + ")"
+    return _trimmed_distinct(f"list_transform(regexp_extract_all({t}, {D.lit(P.QUOTED)}, 1), lambda q: {D.subs(inner, _TRIM)})")
+
+
+def urls(t: str) -> str:
+    return f"regexp_extract_all({t}, {D.lit(P.URL.removeprefix('(?i)'))}, 0, 'i')"
+
+
+def urls_decoded(t: str) -> str:
+    return f"CASE WHEN url_decode({t}) <> {t} THEN {D.sub(f'url_decode({t})', '[(){}#%]', ' ')} ELSE {t} END"
+
+
+def test_methods(t: str) -> str:
+    found = D.distinct(f"list_concat(regexp_extract_all({t}, {D.lit(P.TEST_METHOD)}), regexp_extract_all({t}, {D.lit(P.TEST_FILE)}))")
+    return f"list_filter({found}, lambda t: len({D.exceptions('t')}) = 0)"
+
+
+def only_numbers(t: str) -> str:
+    return D.join(D.words(D.sub(t, r"[^\d ._]"), unique=False), " ")
+
+
+def unique_lines(t: str) -> str:
+    kept = f"list_filter({D.lines(t)}, lambda l: NOT (contains(lower(l), 'documentation') AND contains(lower(l), 'error') AND contains(lower(l), 'visit')))"
+    keys = f"list_transform({kept}, lambda l: {D.subs('l', _TRIM)})"
+    return D.join(f"list_transform(list_filter(list_zip({kept}, {keys}, range(1, len({kept}) + 1)), lambda p: list_position({keys}, p[2]) = p[3]), lambda p: p[1])")
+
+
+def basic_message(t: str) -> str:
+    text = D.subs(t, _TRIM)
+    for patterns in (P.STARTING_LEVEL, P.STARTING_DATETIME, P.STARTING_LEVEL, P.STARTING_THREAD_ID, P.STARTING_THREAD_NAME, P.STARTING_LEVEL):
+        text = D.subs(text, patterns)
+    return D.no_empty_lines(D.sub(D.sub(text, P.LINE_ENDING, "\n"), P.MARKDOWN_MARK))
+
+
+def unified(source: str) -> str:
+    """CTEs from ``source`` (log_id, t) to ``unified`` (log_id, t), a step each."""
+    steps = [
+        f"replace({D.subs(D.subs('t', P.CODE_SEPARATORS), P.WEBDRIVER)}, chr(9), chr(10))",
+        urls_decoded("t"),
+        generated_removed("t"),
+        D.subs(D.subs(D.subs("t", P.UUIDS), P.ACCESS_TOKENS), P.HEX),
+        html_cleaned("t"),
+        D.no_empty_lines("t"),
+        unique_lines("t"),
+    ]
+    names = [source, *(f"unified_{k}" for k in range(1, len(steps))), "unified"]
+    return ",\n".join(f"{to} AS MATERIALIZED (SELECT log_id, {sql} AS t FROM {of})" for of, to, sql in zip(names, names[1:], steps, strict=False))
+
+
+def prepared(clean: str, n_lines: int, for_clustering: bool) -> str:
+    """CTEs from ``raw`` (log_id, t), ``basic`` and ``clean`` of the same columns to ``prepared``, a column per derived field."""
+    first = lambda t: t if n_lines < 0 else D.join(f"list_slice({D.lines(t)}, 1, {n_lines})")
+    ordered = "list_transform(list_sort(list_transform(methods, lambda w: {'n': -length(w), 'w': w})), lambda o: o.w)"
+    short = lambda t: f"list_reduce(list_concat([{first(t)}], {ordered}), lambda a, w: replace(a, w, ' '))"
+    no_specials = lambda t: D.sub(t, P.SPECIAL_CHARACTERS, " ")
+    line = lambda f: f"replace({unique_lines(f)}, ':', ' : ') AS {f}"
+    message = "short" if for_clustering else D.no_empty_lines(D.numbers_removed("short"))
+    other = "original_message, potential_status_codes, message_params, message_lines, message_words_number, found_tests_and_methods, urls, paths"
+    return f"""{parted(clean)},
+field_1 AS MATERIALIZED (SELECT p.log_id, r.t AS original_message, b.t AS basic, p.t AS clean, p.message AS found, p.stack, {test_methods('p.t')} AS methods
+  FROM parted p JOIN raw r USING (log_id) JOIN basic b USING (log_id)),
+field_2 AS MATERIALIZED (SELECT *, {short('clean')} AS short, {short('basic')} AS message_for_clustering, {D.numbers_removed('found')} AS detected_message,
+  {D.numbers_removed(D.sub('stack', P.BRACKETED))} AS stacktrace, {urls('found')} AS found_urls, {only_numbers('found')} AS only_numbers,
+  {D.join(status_codes('found'), ' ')} AS potential_status_codes, {D.join(params('found'), ' ')} AS message_params, {count_lines('clean')} AS message_lines,
+  CAST(len({D.words('clean', urls=False)}) AS INTEGER) AS message_words_number, {enriched_methods(D.join('methods', ' '))} AS found_tests_and_methods FROM field_1),
+field_3 AS MATERIALIZED (SELECT *, found AS detected_message_with_numbers, {message} AS message, {D.subs(no_specials('detected_message'), P.SPACES)} AS detected_message_without_params_and_brackets,
+  {D.join('found_urls', ' ')} AS urls, {D.join(paths(D.sub('found', P.URL, P.URL_TAG)), ' ')} AS paths, {D.join(D.exceptions('detected_message'), ' ')} AS found_exceptions FROM field_2),
+field_4 AS MATERIALIZED (SELECT *, {no_specials('message')} AS message_without_params_and_brackets, {enriched_exceptions('found_exceptions')} AS found_exceptions_extended,
+  {enriched_methods('found')} AS detected_message_extended, {enriched_methods('detected_message_without_params_and_brackets')} AS detected_message_without_params_extended,
+  {enriched_methods('stacktrace')} AS stacktrace_extended, {enriched_methods('message')} AS message_extended FROM field_3),
+field_5 AS MATERIALIZED (SELECT *, {enriched_methods('message_without_params_and_brackets')} AS message_without_params_extended FROM field_4),
+field_6 AS MATERIALIZED (SELECT log_id, {other}, {', '.join(line(f) for f in LINE_FIELDS)} FROM field_5),
+prepared AS (SELECT *, detected_message_without_params_and_brackets || chr(10) || stacktrace AS whole_message FROM field_6)"""
+
+
+def prepared_sql(n_lines: int = -1, for_clustering: bool = False) -> str:
+    clean = "basic" if for_clustering else "unified"
+    texts = f"raw AS (SELECT log_id, message AS t FROM logs),\nbasic AS MATERIALIZED (SELECT log_id, {basic_message('t')} AS t FROM raw)"
+    return f"{ORACLE_LOGS},\n{texts},\n{unified('basic')},\n{prepared(clean, n_lines, for_clustering)}\nSELECT * FROM prepared"
+
+
+def unified_sql() -> str:
+    return f"{ORACLE_LOGS},\nbasic AS MATERIALIZED (SELECT log_id, {basic_message('message')} AS t FROM logs),\n{unified('basic')}\nSELECT log_id, t AS value FROM unified"
+
+
+def stack_words_sql() -> str:
+    return f"""{ORACLE_LOGS}, errors AS (SELECT log_id, project, message AS t FROM logs WHERE log_level >= {P.ERROR_LEVEL} AND {D.filled('message')}),
+{unified('errors')},
+{parted('unified')},
+found AS (SELECT e.project, unnest({D.words('p.stack')}) AS word FROM parted p JOIN errors e USING (log_id))
+SELECT DISTINCT project, word FROM found WHERE len(string_split(word, '.')) > 2"""
+
+
 def part_query(value: str, source: str = "parted") -> str:
     return f"{ORACLE_LOGS}, texts AS (SELECT log_id, message AS t FROM logs), {parted('texts')} SELECT log_id, {value} AS value FROM {source}"

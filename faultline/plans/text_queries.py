@@ -14,7 +14,6 @@ from faultline.plans import text_oracles as O
 from faultline.plans.logs import ORACLE_LOGS, logs
 
 M = "message"
-_TRIM = [(r"^\s+|\s+$", "")]
 _HTML = [(P.STYLE_TAG, " "), (P.SCRIPT_TAG, " "), (P.HTML_TAGS, " ")]
 
 
@@ -26,21 +25,6 @@ def _as_text(items: Column) -> Column:
     return F.array_join(items, "|")
 
 
-def status_sql() -> str:
-    groups = [f"regexp_extract(l, {D.lit(p.removeprefix('(?i)'))}, {g}, 'i')" for p, n in zip(P.STATUS_CODES, P.STATUS_GROUPS, strict=True) for g in range(1, n + 1)]
-    return f"list_filter(flatten(list_transform({D.lines(M)}, lambda l: [{', '.join(groups)}])), lambda c: c <> '')"
-
-
-def _trimmed_distinct(items: str) -> str:
-    return D.distinct(f"list_filter({items}, lambda x: x <> '')")
-
-
-def _unique_lines() -> str:
-    kept = f"list_filter({D.lines(M)}, lambda l: NOT (contains(lower(l), 'documentation') AND contains(lower(l), 'error') AND contains(lower(l), 'visit')))"
-    keys = f"list_transform({kept}, lambda l: {D.subs('l', _TRIM)})"
-    return D.join(f"list_transform(list_filter(list_zip({kept}, {keys}, range(1, len({kept}) + 1)), lambda p: list_position({keys}, p[2]) = p[3]), lambda p: p[1])")
-
-
 #: Key -> (column of the message, DuckDB expression or None where the rule has a query of its own).
 RULES: dict[str, tuple[Callable[[Column], Column], str | None]] = {
     "txt_01_replace_patterns": (lambda m: T.replaced(m, [("fail(ed)?", "FAIL$1"), (r"\s+", " ")]), D.subs(M, [("fail(ed)?", "FAIL$1"), (r"\s+", " ")])),
@@ -56,8 +40,8 @@ RULES: dict[str, tuple[Callable[[Column], Column], str | None]] = {
     "txt_11_remove_bracketed": (T.remove_bracketed, D.sub(M, P.BRACKETED)),
     "txt_12_special_characters": (T.blank_special_characters, D.sub(M, P.SPECIAL_CHARACTERS, " ")),
     "txt_13_found_exceptions": (lambda m: _as_text(T.found_exceptions(m)), _j(D.exceptions(M))),
-    "txt_14_status_codes": (lambda m: _as_text(T.status_codes(m)), _j(status_sql())),
-    "txt_15_unique_status_codes": (lambda m: _as_text(T.unique_status_codes(m)), _j(D.distinct(status_sql()))),
+    "txt_14_status_codes": (lambda m: _as_text(T.status_codes(m)), _j(O.status_codes(M))),
+    "txt_15_unique_status_codes": (lambda m: _as_text(T.unique_status_codes(m)), _j(D.distinct(O.status_codes(M)))),
     "txt_16_first_lines": (lambda m: T.first_lines(m, 2), D.join(f"list_slice({D.lines(M)}, 1, 2)")),
     "txt_17_split_words": (lambda m: _as_text(T.split_words(m)), _j(D.words(M))),
     "txt_18_split_words_kept": (lambda m: _as_text(T.split_words(m, 3, False, False, False)), _j(D.words(M, 3, False, False, False))),
@@ -66,14 +50,14 @@ RULES: dict[str, tuple[Callable[[Column], Column], str | None]] = {
     "txt_20_stack": (lambda m: T.split_message_and_stack(m)["stack"], None),
     "txt_21_python_parts": (lambda m: F.to_json(T.split_python_log(m)), None),
     "txt_22_unique_strings": (lambda m: _as_text(F.array_distinct(F.split(m, " "))), _j(D.distinct(f"string_split({M}, ' ')"))),
-    "txt_23_clustering_text": (lambda m: T.message_for_clustering(m, 2, True), O.clustering_text(M, 2, D.distinct(status_sql()))),
+    "txt_23_clustering_text": (lambda m: T.message_for_clustering(m, 2, True), O.clustering_text(M, 2, D.distinct(O.status_codes(M)))),
     "txt_24_html_tags": (T.clean_html_tags, D.subs(M, _HTML)),
-    "txt_26_decode_urls": (T.decode_urls, f"CASE WHEN url_decode({M}) <> {M} THEN {D.sub(f'url_decode({M})', '[(){}#%]', ' ')} ELSE {M} END"),
+    "txt_26_decode_urls": (T.decode_urls, O.urls_decoded(M)),
     "txt_27_clean_html": (T.clean_html, O.html_cleaned(M)),
-    "txt_28_only_numbers": (T.only_numbers, D.join(D.words(D.sub(M, r"[^\d ._]"), unique=False), " ")),
+    "txt_28_only_numbers": (T.only_numbers, O.only_numbers(M)),
     "txt_29_enrich_methods": (T.enrich_methods, O.enriched_methods(M)),
     "txt_30_item_name_words": (T.test_item_name_words, O.item_name_words(M)),
-    "txt_31_test_methods": (lambda m: _as_text(T.test_methods(m)), f"{_j(f'''list_filter({D.distinct(f"list_concat(regexp_extract_all({M}, {D.lit(P.TEST_METHOD)}), regexp_extract_all({M}, {D.lit(P.TEST_FILE)}))")}, lambda t: len({D.exceptions('t')}) = 0)''')}"),
+    "txt_31_test_methods": (lambda m: _as_text(T.test_methods(m)), _j(O.test_methods(M))),
     "txt_32_test_method_words": (T.test_method_words, O.test_method_words(M)),
     "txt_33_defect_tokens": (lambda m: _as_text(T.defect_tokens(m)), _j(O.defect_tokens(M))),
     "txt_34_remove_uuids": (T.remove_uuids, D.subs(M, P.UUIDS)),
@@ -82,14 +66,11 @@ RULES: dict[str, tuple[Callable[[Column], Column], str | None]] = {
     "txt_37_line_endings": (T.unify_line_endings, D.sub(M, P.LINE_ENDING, "\n")),
     "txt_38_unify_spaces": (T.unify_spaces, D.subs(M, P.SPACES)),
     "txt_39_generated_parts": (T.remove_generated_parts, O.generated_removed(M)),
-    "txt_40_unique_lines": (T.unique_lines, _unique_lines()),
+    "txt_40_unique_lines": (T.unique_lines, O.unique_lines(M)),
     "txt_41_space_colons": (T.space_colons, f"replace({M}, ':', ' : ')"),
-    "txt_42_extract_urls": (lambda m: _as_text(T.extract_urls(m)), _j(f"regexp_extract_all({M}, {D.lit(P.URL.removeprefix('(?i)'))}, 0, 'i')")),
-    "txt_43_extract_paths": (lambda m: _as_text(T.extract_paths(m)), _j(_trimmed_distinct(f"list_transform(regexp_extract_all({M}, {D.lit(P.PATH)}), lambda x: {D.subs('x', _TRIM)})"))),
-    "txt_44_extract_params": (
-        lambda m: _as_text(T.extract_params(m)),
-        _j(_trimmed_distinct(f"list_transform(regexp_extract_all({M}, {D.lit(P.QUOTED)}, 1), lambda q: {D.subs('regexp_extract(q, ' + D.lit('''[^'" ]*[^'"]+''') + ')', _TRIM)})")),
-    ),
+    "txt_42_extract_urls": (lambda m: _as_text(T.extract_urls(m)), _j(O.urls(M))),
+    "txt_43_extract_paths": (lambda m: _as_text(T.extract_paths(m)), _j(O.paths(M))),
+    "txt_44_extract_params": (lambda m: _as_text(T.extract_params(m)), _j(O.params(M))),
     "txt_46_credentials": (lambda m: F.array_join(F.transform(T.extract_urls(m), T.remove_credentials), "|"), _j(f"list_transform(regexp_extract_all({M}, {D.lit(P.URL.removeprefix('(?i)'))}, 0, 'i'), lambda u: {D.sub('u', P.CREDENTIALS, '$1')})")),
     "txt_47_enrich_exceptions": (lambda m: T.enrich_exceptions(T.joined(T.found_exceptions(m), " ")), O.enriched_exceptions(D.join(D.exceptions(M), " "))),
     "txt_49_blank_pieces": (lambda m: T.blank_pieces(m, F.array(F.lit("failed"), F.lit("fail"), F.lit("at "))), f"replace(replace(replace({M}, 'failed', ' '), 'fail', ' '), 'at ', ' ')"),
