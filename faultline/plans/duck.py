@@ -77,3 +77,13 @@ def similarity_words(text: str) -> str:
         "WHEN regexp_matches(w, '(x|ch|sh|z)es$') THEN regexp_replace(w, 'es$', '') ELSE regexp_replace(w, 's$', '') END"
     )
     return f"list_transform({kept}, lambda w: {noun})"
+
+
+def hex_modulus(digits: str, length: int, modulus: int) -> str:
+    """The hexadecimal digits as a number, modulo ``modulus``."""
+    values = f"list_transform(range(1, {length + 1}), lambda i: CAST(instr('0123456789abcdef', substr({digits}, i, 1)) - 1 AS HUGEINT))"
+    return f"CAST(list_reduce({values}, lambda a, c: (a * 16 + c) % {modulus}) AS BIGINT)"
+
+
+def bigrams(words: str) -> str:
+    return f"CASE WHEN len({words}) >= 2 THEN list_transform(range(1, len({words})), lambda i: {words}[i] || ' ' || {words}[i + 1]) ELSE [array_to_string({words}, ' ')] END"

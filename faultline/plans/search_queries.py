@@ -14,6 +14,7 @@ from faultline.operators import decide, dml, prepare
 from faultline.operators import retrieval as R
 from faultline.operators import similarity as sim
 from faultline.plans import duck as D
+from faultline.plans import text_oracles as O
 from faultline.plans.logs import ORACLE_LOGS, logs
 
 NOW = "2024-02-01 00:00:00"
@@ -231,6 +232,20 @@ def mlp_09_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decide.similarity_predictions(pairs).select("req", "item", "hit", "probability", "label")
 
 
+_SIMILAR = f"""{ORACLE_LOGS},
+w AS (SELECT log_id, test_item_id, test_case_hash, message, {D.similarity_words('message')} AS ws FROM logs WHERE log_level >= 40000),
+t AS (SELECT log_id, unnest(list_concat(ws, list_transform(range(1, greatest(len(ws), 1)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS term FROM w),
+c AS (SELECT log_id, term, count(*) AS n FROM t GROUP BY ALL),
+norms AS (SELECT log_id, CAST(sum(n * n) AS DOUBLE) AS norm FROM c GROUP BY log_id),
+pairs AS (SELECT a.log_id AS req, b.log_id AS hit, b.test_item_id AS item, trim(a.message) AS am, trim(b.message) AS bm, a.message = b.message AS same,
+  array_to_string(a.ws, ' ') AS aw, array_to_string(b.ws, ' ') AS bw FROM w a JOIN w b USING (test_case_hash) WHERE a.test_item_id <> b.test_item_id),
+dots AS (SELECT req, hit, sum(x.n * y.n) AS dot FROM pairs p JOIN c x ON x.log_id = p.req JOIN c y ON y.log_id = p.hit AND y.term = x.term GROUP BY ALL),
+scored AS (SELECT req, item, hit, CASE WHEN aw = '' AND bw = '' THEN CASE WHEN (am <> '' OR bm <> '') AND same THEN 1.0 ELSE 0.0 END WHEN aw = '' OR bw = '' THEN 0.0 WHEN aw = bw THEN 1.0
+  ELSE round_even(coalesce(dot, 0) / sqrt(na.norm * nb.norm), 6) END AS probability
+  FROM pairs LEFT JOIN dots USING (req, hit) LEFT JOIN norms na ON na.log_id = req LEFT JOIN norms nb ON nb.log_id = hit),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY req, item ORDER BY probability DESC, hit) = 1)"""
+
+
 def agg_14_proportion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decide.label_proportion(logs(spark, sf_dir).select(F.col("is_auto_analyzed").alias("label")))
 
@@ -256,6 +271,31 @@ def clu_01_light(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.light_dedupe(_messages(spark, sf_dir).select("grp", "idx", "text")).select("grp", "idx", "head")
 
 
+_MESSAGES = f"""{ORACLE_LOGS},
+texts AS (SELECT project AS grp, row_number() OVER (PARTITION BY project ORDER BY log_id) - 1 AS idx, {O.clustering_text('message', 3)} AS text, log_id FROM logs WHERE log_level >= 40000),
+messages AS (SELECT *, {D.words('text', unique=False)} AS ws FROM texts WHERE text <> '')"""
+
+_LIGHT = f"{_MESSAGES} SELECT grp, idx, min(idx) OVER (PARTITION BY grp, array_to_string(ws, ' ')) AS head FROM messages"
+
+_IDS = f"""{_MESSAGES},
+members AS (SELECT regexp_replace(text, '\\d+', '', 'g') AS cluster, list_distinct({D.bigrams('ws')}) AS grams FROM messages QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY log_id) <= 100),
+sizes AS (SELECT cluster, count(*) AS n FROM members GROUP BY 1),
+shared AS (SELECT cluster, gram FROM (SELECT cluster, unnest(grams) AS gram FROM members) JOIN sizes USING (cluster) GROUP BY cluster, gram HAVING count(*) = max(n)),
+hashed AS (SELECT cluster, sha1(coalesce(string_agg(gram, ' ' ORDER BY gram), '')) AS h FROM sizes LEFT JOIN shared USING (cluster) GROUP BY 1)
+SELECT cluster, {D.hex_modulus('h', 40, 10**16)} * 10 AS cluster_id FROM hashed"""
+
+_NAMESPACES = f"""{ORACLE_LOGS},
+words AS (SELECT project, word, string_split(word, '.') AS p FROM (SELECT project, unnest({D.words('message')}) AS word FROM logs) WHERE len(string_split(word, '.')) > 2),
+single AS (SELECT project, part, count(*) AS n FROM (SELECT project, unnest(p) AS part FROM words) GROUP BY ALL),
+vocabulary AS (SELECT project, count(*) AS v FROM single GROUP BY 1),
+pairs AS (SELECT project, word, k, p[k] AS a, p[k + 1] AS b FROM (SELECT project, word, p, unnest(range(1, len(p))) AS k FROM words)),
+good AS (SELECT x.project, a, b FROM (SELECT project, a, b, count(*) AS ab FROM pairs GROUP BY ALL) x JOIN single sa ON sa.project = x.project AND sa.part = a JOIN single sb ON sb.project = x.project AND sb.part = b
+  JOIN vocabulary v ON v.project = x.project WHERE (ab - 1) * v / (sa.n * sb.n) > 0.0005),
+chosen AS (SELECT project, word, arg_min(a || '.' || b, k) AS namespace FROM pairs JOIN good USING (project, a, b) GROUP BY ALL),
+times AS (SELECT project, word, count(*) AS times FROM words GROUP BY ALL)
+SELECT project, namespace, sum(times) AS n FROM chosen JOIN times USING (project, word) GROUP BY ALL HAVING sum(times) > 10"""
+
+
 def clu_11_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = logs(spark, sf_dir).where("log_level >= 40000").select((F.col("log_id") % 16).alias("cluster_id"), F.col("log_id").alias("idx"), F.concat(F.lit("m"), F.col("log_id").cast("string")).alias("message"), "log_id", "test_item_id")
     merged = C.merge_clusters(rows)
@@ -367,6 +407,10 @@ def oracles() -> dict[str, str]:
     s1, s2 = "(hit % 11) / 10.0", "(hit % 7) / 6.0"
     low = "CASE WHEN req_item % 2 = 0 THEN 0.15 ELSE 0.15 - 0.2 END"
     found = {
+        "clu_01_light": _LIGHT,
+        "clu_10_ids": _IDS,
+        "clu_14_namespaces": _NAMESPACES,
+        "mlp_09_similarity": f"{_SIMILAR} SELECT *, CAST(probability >= 0.5 AS INTEGER) AS label FROM best",
         "ret_01_more_like_this": _BM25,
         "ret_02_top_hits": f"{_HITS}, g AS (SELECT req, item, round_even(avg(score), 6) AS score FROM hits GROUP BY ALL), st AS (SELECT item, min(start_time) AS start_time FROM hits GROUP BY 1), r AS (SELECT req, item, score, row_number() OVER (PARTITION BY req ORDER BY score DESC, start_time DESC, item) - 1 AS hit_pos FROM g JOIN st USING (item)) SELECT * FROM r WHERE hit_pos < 10",
         "ret_11_decay": f"{_HITS} SELECT req, hit, round_even(score * greatest(exp(ln(0.95) * greatest((epoch(TIMESTAMP '{NOW}') - epoch(start_time)) / 86400 - 1, 0) / 7.0), 0.6), 6) AS score FROM hits",

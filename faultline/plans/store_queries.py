@@ -17,6 +17,7 @@ from faultline.operators import training as TR
 from faultline.plans import duck as D
 from faultline.plans import search_queries as Q
 from faultline.plans.item_queries import last_unique_sql
+from faultline.plans import text_oracles as O
 from faultline.plans.logs import ORACLE_LOGS, events, logs
 from faultline.sources import tables
 from faultline.streaming import intake
@@ -91,6 +92,11 @@ def agg_11_error_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("project", "launch_id", key.alias("key")).agg(F.min("log_id").alias("first"), F.count(F.lit(1)).alias("n"))
 
 
+_ERROR_GROUPS = f"""{ORACLE_LOGS},
+keyed AS (SELECT *, array_to_string(list_sort({D.exceptions('message')}), ' ') || '|' || array_to_string(list_sort({O.status_codes('message')}), ' ') AS key FROM logs WHERE log_level >= 40000)
+SELECT project, launch_id, key, min(log_id) AS first, count(*) AS n FROM keyed GROUP BY ALL"""
+
+
 def agg_18_label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.defect_entries(_with_history(spark, sf_dir)).where("is_positive").groupBy("issue_type").agg(F.count(F.lit(1)).alias("n"))
 
@@ -242,6 +248,8 @@ def oracles() -> dict[str, str]:
     raw = "' C:\\dir\\' || event_type || '/' || repeat('/', event_id % 3) || CASE WHEN event_id % 2 = 0 THEN '\\' ELSE '' END"
     other = "CASE WHEN log_id % 2 = 0 THEN ' stack' ELSE '' END"
     return {
+        "flt_23_positive": f"{Q._SIMILAR} SELECT req, item, hit FROM best WHERE probability >= 0.5",
+        "agg_11_error_groups": _ERROR_GROUPS,
         "flt_02_nested_level": f"{ORACLE_LOGS} SELECT DISTINCT test_item_id FROM logs WHERE log_level >= 40000",
         "flt_08_launches": f"{ORACLE_LOGS} SELECT log_id, launch_id FROM logs WHERE launch_id IN (3, 5, 8)",
         "flt_21_history": f"{ORACLE_LOGS} SELECT DISTINCT test_item_id FROM logs WHERE issue_type IS NOT NULL",

@@ -143,13 +143,19 @@ def html_cleaned(t: str) -> str:
     return D.no_empty_lines(D.join(f"list_transform([{folded}], lambda f: list_concat(f.done, f.part))[1]"))
 
 
-def clustering_text(t: str, n_lines: int, codes: str) -> str:
-    """``message_for_clustering`` with numbers cleaned; codes are hidden and shown again by folds."""
+def clustering_text(t: str, n_lines: int, codes: str | None = None) -> str:
+    """``message_for_clustering``; with codes, numbers are cleaned and codes hidden and shown again by folds."""
+    if codes is None:
+        return _clustering_words(t, n_lines, D.subs(t, P.STARTING_DATETIME))
     marks = f"list_transform({codes}, lambda c, i: {{'t': c, 'm': '#&' || repeat('#', CAST(i AS BIGINT)) || '&#'}})"
     first = lambda text: f"list_concat([{{'t': {text}, 'm': ''}}], {marks})"
     hidden = f"list_reduce({first(D.subs(t, P.STARTING_DATETIME))}, lambda a, c: {{'t': regexp_replace(a.t, '\\b' || c.t || '\\b', c.m, 'g'), 'm': ''}}).t"
     shown = f"list_reduce({first(D.numbers_removed(hidden))}, lambda a, c: {{'t': replace(a.t, c.m, c.t), 'm': ''}}).t"
-    short = D.join(f"list_slice({D.lines(D.no_empty_lines(shown))}, 1, {n_lines})")
+    return _clustering_words(t, n_lines, shown)
+
+
+def _clustering_words(t: str, n_lines: int, plain: str) -> str:
+    short = D.join(f"list_slice({D.lines(D.no_empty_lines(plain))}, 1, {n_lines})")
     words = D.words(short, 2, unique=False, lower=False)
     return f"CASE WHEN length({t}) > 0 THEN list_transform([{words}], lambda ws: CASE WHEN len(ws) = 1 THEN ws[1] || ' error' ELSE array_to_string(ws, ' ') END)[1] END"
 

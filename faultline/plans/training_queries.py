@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions import scalars as S
 from faultline.operators import training as T
+from faultline.plans import duck as D
 from faultline.plans.logs import ORACLE_LOGS, events, logs
 from faultline.sources import requests, tables
 from faultline.streaming import intake
@@ -142,6 +143,7 @@ _ENTRIES = f"{ORACLE_LOGS}, entries AS (SELECT log_id AS id, issue_type, lower(i
 
 def oracles() -> dict[str, str]:
     return {
+        "mlp_06_model_choice": f"SELECT project, {D.hex_modulus('h', 32, 100)} <= 30 AS custom FROM (SELECT DISTINCT user_id AS project, md5(user_id || '|suggestion') AS h FROM events)",
         "trn_02_balance": f"{_ENTRIES}, labels AS (SELECT unnest(['ab', 'pb', 'si']) AS label), c AS (SELECT label, count(*) FILTER (WHERE base = label AND positive) AS p, count(*) FILTER (WHERE NOT (base = label AND positive) AND (base = label OR positive)) AS n FROM entries, labels GROUP BY 1) SELECT label, 1 AS target, p AS n FROM c UNION ALL SELECT label, 0, least(n, 4 * p) FROM c",
         "trn_03_targets": f"{_ENTRIES} SELECT issue_type, CAST(base = 'pb' AND positive AS INTEGER) AS target, count(*) AS n FROM entries GROUP BY ALL",
         "trn_05_candidates": f"{ORACLE_LOGS}, c AS (SELECT test_case_hash AS req_item, count(*) FILTER (WHERE lower(issue_type) = 'pb001') AS p, count(DISTINCT lower(issue_type)) FILTER (WHERE lower(issue_type) IN ('si001', 'nd001')) AS h, count(*) FILTER (WHERE lower(issue_type) NOT IN ('pb001', 'si001', 'nd001')) AS o FROM logs WHERE issue_type IS NOT NULL GROUP BY 1) SELECT * FROM (SELECT req_item, 1 AS target, p AS n FROM c UNION ALL SELECT req_item, 0, h + least(o, 4 * greatest(p, 1)) FROM c) WHERE n > 0",
