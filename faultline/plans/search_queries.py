@@ -275,6 +275,28 @@ _MESSAGES = f"""{ORACLE_LOGS},
 texts AS (SELECT project AS grp, row_number() OVER (PARTITION BY project ORDER BY log_id) - 1 AS idx, {O.clustering_text('message', 3)} AS text, log_id FROM logs WHERE log_level >= 40000),
 messages AS (SELECT *, {D.words('text', unique=False)} AS ws FROM texts WHERE text <> '')"""
 
+
+
+def _grouped_sql(name: str, source: str) -> str:
+    """CTEs from ``source`` (g, idx, tokens, all different) to ``<name>_roots`` (g, idx, root): parents are followed step by step."""
+    size = "least(n, m)"
+    threshold = f"CASE WHEN {size} > 0 AND ({size} - 1) / {size} >= 0.8 THEN least(0.95, round(({size} - 1) / {size}, 4)) ELSE 0.95 END"
+    return f"""
+{name}_t AS (SELECT g, idx, idx // 1000 AS block, len(tokens) AS n, unnest(tokens) AS t FROM {source}),
+{name}_pairs AS (SELECT a.g, a.idx, b.idx AS j, count(*) AS common, max(a.n) AS n, max(b.n) AS m FROM {name}_t a JOIN {name}_t b ON a.g = b.g AND a.t = b.t AND a.idx < b.idx AND (a.block = 0 OR a.block = b.block) GROUP BY ALL),
+{name}_up AS (SELECT g, j AS idx, min(idx) AS up FROM {name}_pairs WHERE round_even(common / sqrt(CAST(n AS DOUBLE) * m), 6) >= {threshold} GROUP BY ALL),
+{name}_roots AS (WITH RECURSIVE walk AS (SELECT g, idx, idx AS root FROM {source} UNION ALL SELECT w.g, w.idx, u.up FROM walk w JOIN {name}_up u ON u.g = w.g AND u.idx = w.root)
+  SELECT g, idx, min(root) AS root FROM walk GROUP BY ALL)"""
+
+
+_SKETCH = f"list_slice(list_reverse_sort(list_distinct(list_transform({D.bigrams('ws')}, lambda w: md5(w)))), 1, 64)"
+_CLUSTERS = f"""{_MESSAGES},
+heads AS (SELECT grp, idx, ws, log_id, min(idx) OVER (PARTITION BY grp, array_to_string(ws, ' ')) AS head FROM messages),
+alone AS (SELECT grp AS g, idx, ws, {_SKETCH} AS tokens FROM heads WHERE idx = head),{_grouped_sql("first", "alone")},
+regrouped AS (SELECT {{'grp': a.g, 'stage': r.root}} AS g, a.idx, list_distinct(a.ws) AS tokens FROM alone a JOIN first_roots r ON r.g = a.g AND r.idx = a.idx),{_grouped_sql("second", "regrouped")},
+numbered AS (SELECT g.grp AS grp, idx AS head, dense_rank() OVER (PARTITION BY g.grp ORDER BY g.stage, root) - 1 AS cluster FROM second_roots)
+SELECT grp, log_id, cluster FROM heads JOIN numbered USING (grp, head)"""
+
 _LIGHT = f"{_MESSAGES} SELECT grp, idx, min(idx) OVER (PARTITION BY grp, array_to_string(ws, ' ')) AS head FROM messages"
 
 _IDS = f"""{_MESSAGES},
@@ -408,6 +430,7 @@ def oracles() -> dict[str, str]:
     low = "CASE WHEN req_item % 2 = 0 THEN 0.15 ELSE 0.15 - 0.2 END"
     found = {
         "clu_01_light": _LIGHT,
+        "clu_06_find": _CLUSTERS,
         "clu_10_ids": _IDS,
         "clu_14_namespaces": _NAMESPACES,
         "mlp_09_similarity": f"{_SIMILAR} SELECT *, CAST(probability >= 0.5 AS INTEGER) AS label FROM best",
