@@ -182,6 +182,23 @@ def sim_06_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.dedupe_results(rows, ["text"]).select("grp", "pos")
 
 
+_DEDUPE_SQL = f"""{ORACLE_LOGS},
+w AS (SELECT *, {D.similarity_words('text')} AS ws FROM (SELECT test_case_hash AS grp, log_id AS pos, coalesce(issue_type, '') AS issue_type, {D.numbers_removed('message')} AS text FROM logs WHERE log_level >= 40000)),
+t AS (SELECT pos, unnest(list_concat(ws, list_transform(range(1, greatest(len(ws), 1)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS term FROM w),
+c AS (SELECT pos, term, count(*) AS n FROM t GROUP BY ALL),
+norms AS (SELECT pos, CAST(sum(n * n) AS DOUBLE) AS norm FROM c GROUP BY pos),
+pairs AS (SELECT a.grp, a.pos AS i, b.pos AS j, trim(a.text) = '' AND trim(b.text) = '' OR a.text = b.text AS same, array_to_string(a.ws, ' ') AS aw, array_to_string(b.ws, ' ') AS bw
+  FROM w a JOIN w b ON a.grp = b.grp AND a.issue_type = b.issue_type AND a.pos < b.pos),
+dots AS (SELECT i, j, sum(x.n * y.n) AS dot FROM pairs JOIN c x ON x.pos = i JOIN c y ON y.pos = j AND y.term = x.term GROUP BY ALL),
+twins AS (SELECT grp, j AS pos, list(i) AS twins FROM pairs LEFT JOIN dots USING (i, j) LEFT JOIN norms na ON na.pos = i LEFT JOIN norms nb ON nb.pos = j
+  WHERE CASE WHEN aw = '' AND bw = '' THEN same WHEN aw = '' OR bw = '' THEN false WHEN aw = bw THEN true ELSE round_even(coalesce(dot, 0) / sqrt(na.norm * nb.norm), 6) >= 0.98 END GROUP BY ALL),
+numbered AS (SELECT w.grp, w.pos, coalesce(twins, []) AS twins, row_number() OVER (PARTITION BY w.grp ORDER BY w.pos) AS k, count(*) OVER (PARTITION BY w.grp) AS n FROM w LEFT JOIN twins USING (grp, pos)),
+folded AS (WITH RECURSIVE walk AS (SELECT grp, k, n, [pos] AS kept FROM numbered WHERE k = 1
+  UNION ALL SELECT r.grp, x.k, r.n, CASE WHEN list_has_any(r.kept, x.twins) THEN r.kept ELSE list_append(r.kept, x.pos) END FROM walk r JOIN numbered x ON x.grp = r.grp AND x.k = r.k + 1)
+  SELECT grp, unnest(kept) AS pos FROM walk WHERE k = n)
+SELECT grp, CAST(pos AS INTEGER) AS pos FROM folded"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     names = "pre_01_basic pre_03_unify pre_09_bundle pre_10_clustering_bundle pre_12_items pre_12_selected_logs pre_13_stack_words num_scalars dat_times jsn_update_map arr_bigrams txt_48_feature_range txt_50_min_should_match txt_58_issue_types sim_02_cosine sim_04_overlap sim_05_last_unique sim_06_dedupe"
     return {n: globals()[n] for n in names.split()}
@@ -204,6 +221,7 @@ def oracles() -> dict[str, str]:
         "txt_50_min_should_match": "SELECT event_id, CAST(CAST(trunc((event_id % 100) / CAST(100 AS DOUBLE) * 100) AS INTEGER) AS STRING) || '%' AS value FROM events",
         "txt_58_issue_types": f"{ORACLE_LOGS} SELECT log_id, lower(substr(issue_type, 1, 2)) || substr(issue_type, 3) AS prefix, coalesce(lower(issue_type), '') AS normal, coalesce(CASE WHEN regexp_full_match(lower(issue_type), '[a-z]{{2}}\\d{{0,3}}') THEN substr(lower(issue_type), 1, 2) END, lower(issue_type), '') AS base FROM logs",
         "num_scalars": _NUM_SQL,
+        "sim_06_dedupe": _DEDUPE_SQL,
         "sim_02_cosine": _SIM_SQL,
         "sim_04_overlap": _OVERLAP_SQL,
     }
