@@ -288,18 +288,21 @@ class JaccardJoin:
         repeated = repeated_bitmap(lambda buckets: self.texts.mapInArrow(_count_prefixes(size, threshold, self.order, chosen, buckets), "bucket int, hashes binary"), n_tokens)
         found = self.texts.mapInArrow(_prefix_rows(size, threshold, self.order, chosen, repeated), "t long, sid long, n int, pos int, " + ", ".join(f"{w} long" for w in _SKETCH))
         found = stored(found, "found")
-        holders = found.groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("sid")).alias("_who")).where("c >= 2")
-        held = found.join(holders, "t").withColumn("g", F.xxhash64("c", "_who"))
+        # The sum tells sets apart that were read from two rows, which the exclusive or cancels.
+        who = [F.bit_xor(F.xxhash64("sid")).alias("_who"), F.sum(F.xxhash64("sid").bitwiseAND((1 << 36) - 1)).alias("_sum")]
+        holders = found.groupBy("t").agg(F.count(F.lit(1)).alias("c"), *who).where("c >= 2")
+        # The row with a set's sketch stays even if no other set holds its token: the bitmap lets such tokens pass by chance.
+        held = found.join(holders, "t", "left").where("c is not null or s0 is not null").withColumn("g", F.xxhash64("c", "_who", "_sum"))
         held = held.withColumn("_twin", F.row_number().over(Window.partitionBy("sid", "t").orderBy(F.col("s0").asc_nulls_last()))).where("_twin = 1")  # a set may have been read from two rows
         whole = Window.partitionBy("sid")  # no more rows than the longest prefix
         held = held.withColumns(
             {
-                "m": F.count(F.lit(1)).over(whole).cast("int"),
-                "before": F.row_number().over(whole.orderBy("t")) - 1,
+                "m": F.count("c").over(whole).cast("int"),
+                "before": F.count("c").over(whole.orderBy("t").rowsBetween(Window.unboundedPreceding, -1)).cast("int"),
                 "worth": F.sum(F.log2("c")).over(whole) / (F.col("n") + 1),
                 **{w: F.max(w).over(whole) for w in _SKETCH},
             }
-        )
+        ).where("c is not null")
         kept = held.where(F.col("m") >= 1 + F.floor(F.ceil(F.col("n") * up / down) / EXTRA))
         #: (g, sid, n, weight, pos, before, m, worth, sketch): the prefix tokens of each distinct set that other sets hold
         #: too, m of them in a set.  g stands for ``weight`` tokens held by the same sets; the first of them is in place

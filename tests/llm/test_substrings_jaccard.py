@@ -77,3 +77,23 @@ def test_components_of_paths_and_circles(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 102), (102, 100), (7, 7), (300, 200)]
     got = dict(connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 102: 100, 200: 200, 300: 200}
+
+
+def edited_copies(spark, groups=6, copies=12, length=120):
+    """Groups of near copies of one text, and for each text words of its own."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for _ in range(groups):
+        base = [f"w{k}" for k in rng.integers(0, 300, length)]
+        for _ in range(copies):
+            text = list(base)
+            for at in rng.choice(length, rng.integers(1, 5), replace=False):
+                text[at] = f"own{rng.integers(0, 10**9)}"
+            rows.append((len(rows), " ".join(text)))
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_groups_where_the_bitmap_lets_every_token_pass(spark, monkeypatch):
+    full = spark.sparkContext.broadcast(b"\xff" * (1 << 17))
+    monkeypatch.setattr(jaccard, "repeated_bitmap", lambda spread, n_hashes: full)
+    membership(spark, edited_copies(spark))
