@@ -5,6 +5,7 @@ import datetime
 import duckdb
 import pytest
 
+from faultline.operators import answers
 from faultline.plans import catalogue
 
 from .test_catalogue import plain
@@ -33,3 +34,10 @@ def equals_oracle(spark, tmp_path):
 
 def test_history_of_a_test_case_with_one_type(equals_oracle):
     assert len(equals_oracle("win_09_history", [(0, 0, "error"), (3, 0, "error"), (1, 1, "error"), (2, 1, "error")])) == 2
+
+
+def test_an_analysis_answers_all_items(spark):
+    fields = "0 as project, id as req_item, id as req, -id as item, id + 100000 as hit, 0 as hit_pos, 'pb001' as issue_type, 40000 as log_level, 9 as length, 0.9D as probability, 1 as label"
+    predictions = spark.range(4100).selectExpr(*fields.split(", "))
+    assert answers.analyze(predictions).count() == 4100
+    assert answers.analyze(predictions, 7).count() == 7
