@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,16 +13,29 @@ from faultline.functions.text import similarity_words
 PLACES = 6
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it; in a lambda a plain column expression is computed per element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def terms(words: Column) -> Column:
     """Words and neighbouring pairs of words."""
-    pairs = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.array_join(F.slice(words, i, F.lit(2)), " "))
-    return F.when(F.size(words) >= 2, F.concat(words, pairs)).otherwise(words)
+    pairs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i)))
+    return bound(words, lambda w: F.when(F.size(w) >= 2, F.concat(w, pairs(w))).otherwise(w))
 
 
 def counted(items: Column) -> Column:
     """item -> count, as a map."""
-    ordered = F.array_sort(items)
-    return F.map_from_entries(F.transform(F.array_distinct(ordered), lambda t: F.struct(t.alias("k"), F.size(F.filter(ordered, lambda x: x == t)).alias("v"))))
+
+    def entries(ordered: Column, starts: Column) -> Column:
+        end = lambda k: F.coalesce(F.get(starts, k + 1), F.size(ordered))
+        return F.transform(starts, lambda s, k: F.struct(F.get(ordered, s).alias("k"), (end(k) - s).alias("v")))
+
+    def runs(ordered: Column) -> Column:
+        places = F.transform(ordered, lambda _, i: i)
+        return F.filter(places, lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
+
+    return F.map_from_entries(bound(F.array_sort(items), lambda o: bound(runs(o), lambda starts: entries(o, starts))))
 
 
 def with_terms(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -67,13 +82,11 @@ def last_unique(texts: DataFrame, threshold: float) -> DataFrame:
     ``texts`` has (grp, idx, text) with idx from 0.  Terms are weighed by their inverse
     frequency in the group; texts without terms are like nothing.
     """
-    words = texts.withColumn("_t", F.explode(terms(F.filter(F.split("text", r"\W+"), lambda w: w != ""))))
-    tf = words.groupBy("grp", "idx", F.col("_t").alias("term")).agg(F.count(F.lit(1)).alias("tf"))
-    group_size = texts.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
-    df = tf.groupBy("grp", "term").agg(F.count(F.lit(1)).alias("df"))
-    weighed = tf.join(df, ["grp", "term"]).join(group_size, "grp").select("grp", "idx", "term", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
-    norms = weighed.groupBy("grp", "idx").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    unit = weighed.join(norms, ["grp", "idx"]).select("grp", "idx", "term", (F.col("w") / F.col("norm")).alias("w"))
+    sized = texts.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("grp")))
+    tf = sized.select("grp", "idx", "n", F.explode(counted(terms(F.filter(F.split("text", r"\W+"), lambda w: w != "")))).alias("term", "tf"))
+    weighed = tf.withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.count(F.lit(1)).over(Window.partitionBy("grp", "term")))) + 1))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("grp", "idx")))
+    unit = weighed.withColumn("norm", norm).select("grp", "idx", "term", (F.col("w") / F.col("norm")).alias("w"))
     later = unit.select("grp", "term", F.col("idx").alias("j"), F.col("w").alias("v"))
     near = unit.join(later, ["grp", "term"]).where("idx < j").groupBy("grp", "idx", "j").agg(F.bround(F.sum(F.col("w") * F.col("v")), PLACES).alias("s")).where(F.col("s") >= threshold)
     last = near.groupBy("grp", "idx").agg(F.max("j").alias("last"))

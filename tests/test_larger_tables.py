@@ -5,7 +5,7 @@ import datetime
 import duckdb
 import pytest
 
-from faultline.operators import answers
+from faultline.operators import answers, similarity
 from faultline.plans import catalogue
 
 from .test_catalogue import plain
@@ -41,3 +41,10 @@ def test_an_analysis_answers_all_items(spark):
     predictions = spark.range(4100).selectExpr(*fields.split(", "))
     assert answers.analyze(predictions).count() == 4100
     assert answers.analyze(predictions, 7).count() == 7
+
+
+def test_texts_are_not_read_again_for_each_weight(spark):
+    texts = spark.createDataFrame([(1, 0, "order one failed"), (1, 1, "order one failed"), (1, 2, ""), (2, 0, "alone")], "grp int, idx int, text string")
+    kept = similarity.last_unique(texts, 0.95)
+    assert sorted((r["grp"], r["idx"]) for r in kept.collect()) == [(1, 1), (1, 2), (2, 0)]
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 3
