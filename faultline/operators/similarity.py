@@ -38,44 +38,60 @@ def counted(items: Column) -> Column:
     return F.map_from_entries(bound(F.array_sort(items), lambda o: bound(runs(o), lambda starts: entries(o, starts))))
 
 
+def repeats(items: Column) -> Column:
+    """item -> count of the items that occur more than once, as a map; null if there is none."""
+    again = lambda o: F.filter(o, lambda t, i: (i > 0) & (t == F.get(o, i - 1)))
+    times = lambda e: F.transform(F.array_distinct(e), lambda t: F.struct(t.alias("k"), (F.size(F.filter(e, lambda x: x == t)) + 1).cast("long").alias("v")))
+    found = bound(bound(F.sort_array(items), again), times)
+    return F.when(F.size(F.array_distinct(items)) < F.size(items), F.map_from_entries(found))
+
+
 def with_terms(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds ``out``: the raw and the processed text, term counts and their squared norm; computed once per text."""
-    step = df.withColumn("_w", similarity_words(F.col(text)))
-    step = step.withColumn("_c", counted(terms(F.col("_w"))))
-    norm = F.aggregate(F.map_values("_c"), F.lit(0).cast("long"), lambda a, v: a + v * v)
-    return step.withColumn(out, F.struct(F.col(text).alias("raw"), F.array_join("_w", " ").alias("text"), F.col("_c").alias("counts"), norm.alias("norm"))).drop("_w", "_c")
+    """Adds ``out``: the terms of a text, the counts of those that it repeats, their squared norm, and the raw text if it has no terms; computed once per text."""
+    step = df.withColumn("_w", terms(similarity_words(F.col(text)))).withColumns({"_t": F.array_distinct("_w"), "_m": repeats(F.col("_w"))})
+    norm = F.size("_t") + F.aggregate(F.coalesce(F.map_values("_m"), F.array().cast("array<bigint>")), F.lit(0).cast("long"), lambda a, v: a + v * v - 1)
+    raw = F.when(F.size("_t") == 0, F.col(text))
+    return step.withColumn(out, F.struct(raw.alias("raw"), F.col("_t").alias("terms"), F.col("_m").alias("repeats"), norm.alias("norm"))).drop("_w", "_t", "_m")
 
 
 def similarity(a: Column, b: Column) -> Column:
     """(similarity, both_empty) of two ``with_terms`` columns.
 
     Two blank raw texts are both empty with similarity 0; if only stop words are left
-    of both, the raw texts decide; if of one, 0; equal processed texts give 1.
+    of both, the raw texts decide; if of one, 0; else the cosine of the term counts.
     """
     blank = lambda x: F.trim(F.coalesce(x["raw"], F.lit(""))) == ""
-    dot = F.aggregate(F.map_entries(a["counts"]), F.lit(0).cast("long"), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at(b["counts"], e["key"]), F.lit(0)))
-    none_a, none_b = a["text"] == "", b["text"] == ""
+    times = lambda x, t: F.coalesce(F.try_element_at(x["repeats"], t), F.lit(1).cast("long"))
+    shared = F.array_intersect(a["terms"], b["terms"])
+    dot = F.when(a["repeats"].isNull() & b["repeats"].isNull(), F.size(shared).cast("long")).otherwise(F.aggregate(shared, F.lit(0).cast("long"), lambda s, t: s + times(a, t) * times(b, t)))
+    none_a, none_b = F.size(a["terms"]) == 0, F.size(b["terms"]) == 0
     both = none_a & none_b & blank(a) & blank(b)
     value = (
         F.when(both, F.lit(0.0))
         .when(none_a & none_b, (a["raw"] == b["raw"]).cast("double"))
         .when(none_a | none_b, F.lit(0.0))
-        .when(a["text"] == b["text"], F.lit(1.0))
         .otherwise(F.bround(dot / F.sqrt(a["norm"].cast("double") * b["norm"]), PLACES))
     )
     return F.struct(value.alias("similarity"), both.alias("both_empty"))
 
 
-def value_overlap(a: Column, b: Column) -> Column:
-    """(common / longest) x (1 - missing / longest) of two lists of values; counts matter, case does not."""
-    values = lambda x: F.transform(F.filter(F.split(x, " "), lambda v: F.trim(v) != ""), lambda v: F.lower(F.trim(v)))
-    x, y = values(a), values(b)
-    times = lambda items, v: F.size(F.filter(items, lambda i: i == v))
-    common = F.aggregate(F.array_distinct(x), F.lit(0), lambda s, v: s + F.least(times(x, v), times(y, v)))
-    longest = F.greatest(F.size(x), F.size(y))
+def values(text: Column) -> Column:
+    """The values of a list, each with its number among equal ones, so that sets of them meet as often as the values do; case does not matter."""
+    found = F.transform(F.filter(F.split(text, " "), lambda v: F.trim(v) != ""), lambda v: F.lower(F.trim(v)))
+    return bound(found, lambda x: F.transform(x, lambda v, i: F.concat(v, F.lit(" "), F.size(F.filter(F.slice(x, F.lit(1), i + 1), lambda e: e == v)).cast("string"))))
+
+
+def overlap(x: Column, y: Column) -> Column:
+    """(common / longest) x (1 - missing / longest) of two ``values`` columns."""
+    common, longest = F.size(F.array_intersect(x, y)), F.greatest(F.size(x), F.size(y))
     return F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).otherwise(common / longest * (1 - (longest - common) / longest))
 
 
+def value_overlap(a: Column, b: Column) -> Column:
+    """``overlap`` of two lists of values; counts matter, case does not."""
+    return overlap(values(a), values(b))
+
+
 def last_unique(texts: DataFrame, threshold: float) -> DataFrame:
     """(grp, idx) of the texts kept in each group: of each text not chosen yet, the last one like it; and the last text.
 

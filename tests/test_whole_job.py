@@ -1,5 +1,11 @@
 """Queries on pairs look at every log: against pairs made one by one."""
 
+import collections
+import math
+
+from pyspark.sql import functions as F
+
+from faultline.operators import similarity
 from faultline.plans import catalogue
 from faultline.plans.logs import logs
 
@@ -19,3 +25,29 @@ def test_pairs_are_the_hits_of_all_logs(spark):
     assert sorted(features) == sorted((req, hit) for req, hit, _ in want)
     best = [(r["req"], r["item"]) for r in catalogue.queries()["mlp_09_similarity"](spark, SF).select("req", "item").collect()]
     assert sorted(best) == sorted({(req, item) for req, _, item in want})
+
+
+def plan_of(spark, name):
+    return catalogue.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_terms_of_neighbours_are_shuffled_once_for_both_sides(spark):
+    plan = plan_of(spark, "sim_02_cosine")
+    assert plan.count("RepartitionByExpression") == 2
+    assert "array_intersect(" in plan
+
+
+def test_likeness_of_repeated_terms(spark):
+    texts = ["cat cat dog", "cat dog dog dog", "cat cat dog", "bird", "", "the", "The"]
+    rows = similarity.with_terms(spark.createDataFrame(list(enumerate(texts)), "i int, x string"), "x", "t")
+    got = {(r["i"], r["j"]): r["s"] for r in rows.alias("a").crossJoin(rows.alias("b")).select(F.col("a.i").alias("i"), F.col("b.i").alias("j"), similarity.similarity(F.col("a.t"), F.col("b.t"))["similarity"].alias("s")).collect()}
+
+    def counts(text):
+        words = [w for w in text.lower().split() if w != "the"]
+        return collections.Counter(words + [" ".join(p) for p in zip(words, words[1:], strict=False)])
+
+    for (i, j), found in got.items():
+        a, b = counts(texts[i]), counts(texts[j])
+        norm = math.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values()))
+        want = round(sum(a[t] * b[t] for t in a) / norm, 6) if norm else float(not a and not b and texts[i] == texts[j] and texts[i] != "")
+        assert found == want, (texts[i], texts[j])
