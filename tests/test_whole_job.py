@@ -59,3 +59,8 @@ def test_likeness_is_computed_once_for_two_logs(spark, name):
     plan = plan_of(spark, name)
     assert "a_test_item_id" in plan and "array_intersect(" in plan
     assert name != "fea_pair" or "Window" not in plan
+
+
+@pytest.mark.parametrize("name", ["req_search"])
+def test_pairs_of_a_search_are_not_joined_again(spark, name):
+    assert plan_of(spark, name).count("Join Inner") == 2
