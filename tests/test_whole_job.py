@@ -61,6 +61,6 @@ def test_likeness_is_computed_once_for_two_logs(spark, name):
     assert name != "fea_pair" or "Window" not in plan
 
 
-@pytest.mark.parametrize("name", ["req_search"])
+@pytest.mark.parametrize("name", ["req_search", "req_search_all"])
 def test_pairs_of_a_search_are_not_joined_again(spark, name):
     assert plan_of(spark, name).count("Join Inner") == 2
