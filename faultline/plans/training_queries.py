@@ -50,12 +50,10 @@ def mlp_01_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mlp_03_defect_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = T.stratified_split(T.binary_target(_entries(spark, sf_dir), "pb"))
-    model = T.train_defect_type(rows.where("NOT is_test"))
-    from faultline.functions.text import defect_tokens
-
-    test = rows.where("is_test").withColumn("tokens", defect_tokens(F.col("text")))
-    return model.transform(test).select("id", "target", F.col("prediction").cast("int").alias("predicted"))
+    rows = T.with_tokens(T.stratified_split(T.binary_target(_entries(spark, sf_dir), "pb")))
+    kept = tables.kept(rows.select("id", "target", "is_test", "tokens"), "defect-type")
+    model = T.train_defect_type(kept.where("NOT is_test"))
+    return model.transform(kept.where("is_test")).select("id", "target", F.col("prediction").cast("int").alias("predicted"))
 
 
 def mlp_06_model_choice(spark: SparkSession, sf_dir: str) -> DataFrame:

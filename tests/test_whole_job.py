@@ -64,3 +64,7 @@ def test_likeness_is_computed_once_for_two_logs(spark, name):
 @pytest.mark.parametrize("name", ["req_search", "req_search_all"])
 def test_pairs_of_a_search_are_not_joined_again(spark, name):
     assert plan_of(spark, name).count("Join Inner") == 2
+
+
+def test_a_forest_is_trained_on_stored_tokens(spark):
+    assert "regexp_extract_all" not in plan_of(spark, "mlp_03_defect_type")
