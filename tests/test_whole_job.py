@@ -6,7 +6,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from faultline.operators import similarity
+from faultline.operators import clustering, similarity
 from faultline.plans import catalogue
 from faultline.plans.logs import logs
 
@@ -68,3 +68,30 @@ def test_pairs_of_a_search_are_not_joined_again(spark, name):
 
 def test_a_forest_is_trained_on_stored_tokens(spark):
     assert "regexp_extract_all" not in plan_of(spark, "mlp_03_defect_type")
+
+
+def _cosine(a, b):
+    """Whether two sets are alike at 0.95; of short ones a word may be missing."""
+    least = min(len(a), len(b))
+    eased = (least - 1) / least if least else 0
+    return bool(a and b) and round(len(a & b) / math.sqrt(len(a) * len(b)), 6) >= (min(0.95, round(eased, 4)) if eased >= 0.8 else 0.95)
+
+
+def test_groups_of_like_sets_match_pairs_made_one_by_one(spark):
+    common = [f"c{k}" for k in range(24)]
+    sets = [(g, i, sorted({*common[: 3 + (7 * i + g) % 21], *([f"x{i % 5}"] if i % 3 else []), *([f"y{i}"] if i % 4 == 0 else [])})) for g in range(3) for i in range(60)]
+    want = {}
+    for g, i, t in sets:
+        up = next((j for h, j, u in sets if h == g and j < i and _cosine(set(t), set(u))), i)
+        want[g, i] = want.get((g, up), up)
+    found = clustering.similarity_groups(spark.createDataFrame(sets, "grp int, idx int, tokens array<string>"), 0.95)
+    assert {(r["grp"], r["idx"]): r["root"] for r in found.collect()} == want
+
+
+def test_texts_of_two_tables_are_alike_as_in_clusters_of_the_two(spark):
+    texts = [" ".join([f"w{k}" for k in range(n)] + tail) for n in (0, 1, 4, 8, 15, 24, 25) for tail in ([], ["p"], ["q"], ["p", "q"])]
+    rows = [(1, t) for t in texts]
+    got = {(r["left"], r["right"]) for r in clustering.like_texts(spark.createDataFrame(rows[::2], "grp int, same string"), spark.createDataFrame(rows, "grp int, same string")).collect()}
+    pairs = [(f"{a}|{b}", i, t) for a in texts[::2] for b in texts for i, t in enumerate((a, b))]
+    both = clustering.find_clusters(spark.createDataFrame(pairs, "grp string, idx int, text string")).groupBy("grp").agg(F.countDistinct("cluster").alias("n")).where("n = 1")
+    assert {f"{a}|{b}" for a, b in got} == {r["grp"] for r in both.collect()}
