@@ -29,6 +29,10 @@ from faultline.llm.words import slices, sliding_min, string_buffers, window_hash
 
 LENGTH = 35
 GRAM = 12
+#: Bits of the anchors' bitmap for each anchor, up to 2^28 in all: a worker needs no more of its memory for few anchors.
+BITS_EACH = 128
+#: Bytes of text, and hashes, that a worker has in hand at once.
+SLICE, FLUSH = 1 << 18, 1 << 18
 #: Windows under anchors that occur more often are laid out one a row, so that they are counted before they are shuffled.
 HOT_ANCHOR = 4096
 
@@ -63,13 +67,13 @@ def _selected(grams: np.ndarray, least: np.ndarray, span: int) -> np.ndarray:
 def _count_anchors(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def hashes():
-            for batch in slices(_without_copies(batches), 0):
+            for batch in slices(_without_copies(batches), 0, size=SLICE):
                 words, valid, _, _ = _windows(batch.column(0), length)
                 if valid.any():
                     grams, least = _anchors(words, valid, length)
                     yield grams[_selected(grams, least, length - min(GRAM, length) + 1)]
 
-        for found, n in counted_batches(hashes()):
+        for found, n in counted_batches(hashes(), FLUSH):
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["h", "n"])
 
     return run
@@ -100,7 +104,7 @@ def _candidates(length: int, repeated: Broadcast, hot: Broadcast):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags, hot_flags = np.frombuffer(repeated.value, np.uint8), np.frombuffer(hot.value, np.uint8)
-        for batch in slices(_without_copies(batches), 0):
+        for batch in slices(_without_copies(batches), 0, size=SLICE):
             docs = batch.column(1).to_numpy(zero_copy_only=False)
             words, valid, row, first = _windows(batch.column(0), length)
             if not valid.any():
@@ -171,7 +175,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _remove(length: int, text_at: int, starts_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_at):
+        for batch in slices(batches, text_at, size=SLICE):
             data, offsets = string_buffers(batch.column(text_at))
             _, _, first = word_bounds(data, offsets)
             lists = pc.fill_null(batch.column(starts_at), pa.scalar([], pa.list_(pa.int32())))
@@ -200,7 +204,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, text_col: str = "tex
     hashed = docs.select(text.alias("text"), F.xxhash64(text).alias("doc"))
     anchors = hashed.mapInArrow(_count_anchors(length), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 2")
     anchors = stored(anchors, "anchors")
-    repeated = bitmap(anchors, "h")
+    repeated = bitmap(anchors, "h", min(28, max(20, (BITS_EACH * anchors.count()).bit_length())))
     hot = bitmap(anchors.where(F.col("n") > HOT_ANCHOR), "h", 20)
     rows = hashed.mapInArrow(_candidates(length, repeated, hot), "key long, doc long, at int, windows array<long>, w long, ats array<int>")
     rows = stored(rows, "windows")
@@ -220,7 +224,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text"
     all windows are judged on the input.  What is left is joined by single spaces.
     Null texts have no words, rows shorter than a window lose nothing, repeated rows
     lose every window, and extra columns pass unchanged; columns with the name of a
-    result are replaced.  Texts are taken in slices of at most 0.5 MB, a longer one by
+    result are replaced.  Texts are taken in slices of at most 0.25 MB, a longer one by
     itself; texts of one 64-bit hash count as one.
     """
     docs = docs.drop("kept_text", "n_words", "n_removed")

@@ -25,6 +25,13 @@ def test_repeats_under_hot_anchors(spark, monkeypatch):
     removal(spark, documents(spark))
 
 
+def test_the_bitmap_of_few_anchors_is_small(spark, monkeypatch):
+    sizes, bitmap = [], substrings.bitmap
+    monkeypatch.setattr(substrings, "bitmap", lambda *a: (sizes.append(len((made := bitmap(*a)).value)), made)[1])
+    removal(spark, documents(spark))
+    assert len(sizes) == 2 and max(sizes) <= 1 << 20
+
+
 def test_repeats_of_an_empty_table_and_extra_columns(spark):
     assert remove_repeats(empty(spark)).count() == 0
     docs = documents(spark).withColumnRenamed("source", "_starts").withColumnRenamed("lang", "_doc")
