@@ -48,3 +48,22 @@ def test_texts_are_not_read_again_for_each_weight(spark):
     kept = similarity.last_unique(texts, 0.95)
     assert sorted((r["grp"], r["idx"]) for r in kept.collect()) == [(1, 1), (1, 2), (2, 0)]
     assert kept._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 3
+
+
+def test_terms_of_texts_are_small(spark):
+    rows = similarity.with_terms(spark.createDataFrame([("a a b",)], "x string"), "x", "t")
+    assert rows.select("t.terms").schema["terms"].dataType.simpleString() == "array<bigint>"
+
+
+def test_a_search_shuffles_messages_and_what_it_tells(spark):
+    """An item of two launches is told by its best log alone; pairs that tell nothing are not shuffled."""
+    requests = spark.createDataFrame([(1, 0, 1, [1, 2])], "req long, project long, item_id long, launches array<long>")
+    messages = spark.createDataFrame([(1, 0, "order broken status code: 500")], "req long, idx long, message string")
+    logs = [
+        (1, 7, 70, "order broken status code: 404"), (2, 7, 71, "order broken hard today status code: 500"),
+        (1, 8, 80, "order broken status code: 500"), (2, 9, 90, "order broken hard today status code: 500"), (2, 5, 50, "order broken status code: 404"),
+    ]
+    stored = spark.createDataFrame([(0, launch, item, "ti001", log, log, text) for launch, item, log, text in logs], "project long, launch_id long, test_item_id long, issue_type string, log_id long, log_order long, message string")
+    found = answers.search_logs(requests, messages, stored, least=0.3)
+    assert [(r["item"], r["log_id"], r["place"]) for r in found.orderBy("place").collect()] == [(8, 80, 0), (9, 90, 1)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 2
