@@ -99,15 +99,18 @@ def last_unique(texts: DataFrame, threshold: float) -> DataFrame:
     """(grp, idx) of the texts kept in each group: of each text not chosen yet, the last one like it; and the last text.
 
     ``texts`` has (grp, idx, text) with idx from 0.  Terms are weighed by their inverse
-    frequency in the group; texts without terms are like nothing.
+    frequency in the group; texts without terms are like nothing.  Terms are 64-bit hashes,
+    as in ``with_terms``.  Spark estimates them by the size of the files, far too low, so
+    the join is told to sort: it must not collect them in the driver to broadcast them.
     """
+    hashed = lambda words: F.transform(terms(words), lambda t: F.xxhash64(t))
     sized = texts.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("grp")))
-    tf = sized.select("grp", "idx", "n", F.explode(counted(terms(F.filter(F.split("text", r"\W+"), lambda w: w != "")))).alias("term", "tf"))
+    tf = sized.select("grp", "idx", "n", F.explode(counted(hashed(F.filter(F.split("text", r"\W+"), lambda w: w != "")))).alias("term", "tf"))
     weighed = tf.withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.count(F.lit(1)).over(Window.partitionBy("grp", "term")))) + 1))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("grp", "idx")))
     unit = weighed.withColumn("norm", norm).select("grp", "idx", "term", (F.col("w") / F.col("norm")).alias("w"))
     later = unit.select("grp", "term", F.col("idx").alias("j"), F.col("w").alias("v"))
-    near = unit.join(later, ["grp", "term"]).where("idx < j").groupBy("grp", "idx", "j").agg(F.bround(F.sum(F.col("w") * F.col("v")), PLACES).alias("s")).where(F.col("s") >= threshold)
+    near = unit.join(later.hint("merge"), ["grp", "term"]).where("idx < j").groupBy("grp", "idx", "j").agg(F.bround(F.sum(F.col("w") * F.col("v")), PLACES).alias("s")).where(F.col("s") >= threshold)
     last = near.groupBy("grp", "idx").agg(F.max("j").alias("last"))
     folded = (
         texts.select("grp", "idx").join(last, ["grp", "idx"], "left").groupBy("grp")

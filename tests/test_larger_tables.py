@@ -8,7 +8,7 @@ import pytest
 from faultline.operators import answers, similarity
 from faultline.plans import catalogue
 
-from .test_catalogue import plain
+from .test_catalogue import SF, plain
 
 
 @pytest.fixture
@@ -50,6 +50,14 @@ def test_texts_are_not_read_again_for_each_weight(spark):
     assert kept._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 3
 
 
+@pytest.mark.parametrize("name", ["sim_05_last_unique", "pre_12_selected_logs", "pre_12_items", "sim_08_request_messages"])
+def test_terms_of_texts_are_never_collected_in_the_driver(spark, name):
+    """Spark takes the terms for as small as the files, and would broadcast them."""
+    plan = catalogue.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and "term" in x]
+    assert [x for x in plan.splitlines() if "SortMergeJoin" in x and "term" in x]
+
+
 def test_terms_of_texts_are_small(spark):
     rows = similarity.with_terms(spark.createDataFrame([("a a b",)], "x string"), "x", "t")
     assert rows.select("t.terms").schema["terms"].dataType.simpleString() == "array<bigint>"
