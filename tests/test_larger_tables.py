@@ -50,7 +50,7 @@ def test_texts_are_not_read_again_for_each_weight(spark):
     assert kept._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 3
 
 
-@pytest.mark.parametrize("name", ["sim_05_last_unique", "pre_12_selected_logs", "pre_12_items", "sim_08_request_messages"])
+@pytest.mark.parametrize("name", ["sim_05_last_unique", "pre_12_selected_logs", "pre_12_items", "sim_08_request_messages", "ret_01_more_like_this"])
 def test_terms_of_texts_are_never_collected_in_the_driver(spark, name):
     """Spark takes the terms for as small as the files, and would broadcast them."""
     plan = catalogue.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
