@@ -50,8 +50,9 @@ def mlp_01_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mlp_03_defect_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = T.with_tokens(T.stratified_split(T.binary_target(_entries(spark, sf_dir), "pb")))
-    kept = tables.kept(rows.select("id", "target", "is_test", "tokens"), "defect-type")
+    rows = T.with_tokens(T.binary_target(_entries(spark, sf_dir), "pb"))
+    kept = T.spread_split(tables.kept(rows.select("id", "target", "tokens"), "defect-type"))
+    kept = tables.kept(kept, "defect-type-split")
     model = T.train_defect_type(kept.where("NOT is_test"))
     return model.transform(kept.where("is_test")).select("id", "target", F.col("prediction").cast("int").alias("predicted"))
 

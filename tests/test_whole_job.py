@@ -6,7 +6,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from faultline.operators import clustering, similarity
+from faultline.operators import clustering, similarity, training
 from faultline.plans import catalogue
 from faultline.plans.logs import logs
 
@@ -70,6 +70,24 @@ def test_a_forest_is_trained_on_stored_tokens(spark):
     assert "regexp_extract_all" not in plan_of(spark, "mlp_03_defect_type")
 
 
+def test_a_forest_never_makes_a_row_as_wide_as_its_vocabulary(spark):
+    """Half of 4000 texts name one token; of 400 others each is in ten, and tells nothing."""
+    rows = spark.range(4000).select(F.col("id"), (F.col("id") % 2).cast("int").alias("target"), F.when(F.col("id") % 2 == 1, F.array(F.lit("red"), F.concat(F.lit("x"), F.col("id") % 400))).otherwise(F.array(F.concat(F.lit("x"), F.col("id") % 400))).alias("tokens"))
+    model = training.train_defect_type(rows, trees=20)
+    assert not [s for s in model.stages if "RandomForest" in type(s).__name__]
+    assert training.f1(model.transform(rows)) == 1.0
+    assert training.f1(model.transform(rows.withColumn("target", 1 - F.col("target")))) == 0.0
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 999])
+def test_a_split_of_stored_rows_is_that_of_ranks(spark, n):
+    rows = spark.range(n).select("id", F.when(F.col("id") % 5 < 4, F.col("id") % 5 % 2).alias("target"))
+    split = {(r["id"], r["is_test"]) for r in training.stratified_split(rows).collect()}
+    spread = training.spread_split(rows)
+    assert {(r["id"], r["is_test"]) for r in spread.collect()} == split
+    assert "_b" in spread._jdf.queryExecution().optimizedPlan().toString()
+
+
 def _cosine(a, b):
     """Whether two sets are alike at 0.95; of short ones a word may be missing."""
     least = min(len(a), len(b))
